@@ -90,13 +90,17 @@ def with_utm(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> Da
 def with_cell(
     df: DataFrame, size_km: float = 1, lat: str = "latitude", lon: str = "longitude", out: str = "grid_id"
 ) -> DataFrame:
-    """Add the cell id ``<zone><band>_<east>_<north>``, NULL outside the UTM domain."""
+    """Add the cell id ``<zone><band>_<east>_<north>``, NULL outside the UTM domain.
+
+    The id leaves through a one-row generator. A later join on it implies ``IS NOT NULL``;
+    pushed through plain projections, this filter would repeat the whole series below.
+    """
     side = float(size_km) * 1000.0
     cell = F.concat(
         F.col("_zone").cast("string"), "_band", F.lit("_"), F.floor(F.col("_east") / side).cast("string"),
         F.lit("_"), F.floor(F.col("_north") / side).cast("string"))
     keep = [c for c in df.columns if c != out]
-    return with_utm(df, lat, lon).select(*keep, cell.alias(out))
+    return with_utm(df, lat, lon).select(*keep, F.inline(F.array(F.struct(cell.alias(out)))))
 
 
 def with_centre(df: DataFrame, cell: str = "grid_id", size_km: float = 1) -> DataFrame:

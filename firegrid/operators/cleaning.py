@@ -58,17 +58,15 @@ def missing_share(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return shares.unpivot([], columns, "column_name", "missing_pct")
 
 
-def sparse_columns(df: DataFrame, threshold: float = 50.0) -> list[str]:
-    """Columns missing in more than ``threshold`` percent of rows.
-
-    The driver sees one row: the result decides the schema of everything after it.
-    """
+def missing_by_column(df: DataFrame) -> dict[str, float]:
+    """Missing percent per column. The driver sees one row: it decides the schema from here on."""
     row = df.agg(*[_null_share(c).alias(c) for c in df.columns]).first()
-    return [c for c in df.columns if (row[c] or 0.0) > threshold]
+    return {c: row[c] or 0.0 for c in df.columns}
 
 
 def drop_sparse_columns(df: DataFrame, threshold: float = 50.0) -> DataFrame:
-    return df.drop(*sparse_columns(df, threshold))
+    """Drop the columns missing in more than ``threshold`` percent of rows."""
+    return df.drop(*[c for c, share in missing_by_column(df).items() if share > threshold])
 
 
 def fill_with_daily_median(
@@ -95,9 +93,11 @@ def clean_weather(
     ``keys`` are identifier columns that must not be filled.
     """
     df = sentinels_to_null(df, sentinels)
-    df = drop_sparse_columns(df, threshold)
-    fillable = [c for c in numeric_columns(df) if c not in keys]
-    df = fill_with_daily_median(df, fillable, day)
+    share = missing_by_column(df)
+    df = df.drop(*[c for c in df.columns if share[c] > threshold])
+    gaps = [c for c in numeric_columns(df) if c not in keys and share[c] > 0.0]
+    if gaps:
+        df = fill_with_daily_median(df, gaps, day)
     df = drop_duplicate_rows(df)
     return in_coordinate_range(df) if {"latitude", "longitude"} <= set(df.columns) else df
 

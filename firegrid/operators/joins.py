@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from firegrid.operators.cleaning import bounding_box
 from firegrid.operators.nearest import nearest_point
+from firegrid.session import written
 
 MONTH = ["_year", "_month"]
 
@@ -114,9 +115,12 @@ def merge_fire_weather(
     """Same-day match of the nearest station, else the temporal fallback, else dropped.
 
     ``overwrite=True`` gives the published form, where weather columns replace fire columns
-    of the same name. ``first_pass`` may be a stored ``nearest_station(keep_misses=True)``.
+    of the same name. Hits and misses both come from the first pass, which is therefore stored
+    once; ``first_pass`` may be an already stored ``nearest_station(keep_misses=True)``.
     """
-    both = nearest_station(fires, weather, buffer, keep_misses=True) if first_pass is None else first_pass
+    both = first_pass
+    if both is None:
+        both = written(nearest_station(fires, weather, buffer, keep_misses=True), "first-pass")
     hits = both.where(F.col("weather_date").isNotNull())
     misses = both.where(F.col("weather_date").isNull()).select(*fires.columns)
     out = hits.unionByName(

@@ -1,9 +1,9 @@
 """Exact nearest point by great-circle distance, as equi-joins on cells of a pyramid.
 
-Level k cuts the globe into cells of 360 / 2**k degrees. The finest level at which a
+Level k (0, 2, 4 ..) cuts the globe into cells of 360 / 2**k degrees. The finest level at which a
 query shares its cell with some point gives a point nearby, hence an upper bound r for the
 nearest distance. The cells that a circle of radius r can touch are then looked up at
-the level whose cells are just larger than r: at most three rows of latitude, and few
+the finest level whose cells are larger than r: at most three rows of latitude, and few
 columns. No pair outside these cells is ever formed, so neither a full product nor a
 search-radius limit is needed.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from firegrid.functions.spatial import EARTH_KM, haversine_km
 
 FINEST = 14  # 0.022 degrees, about 2.4 km
+LEVEL_STEP = 2  # only every second level is used: half the rows, cells of at most 4 r
 KM_PER_DEGREE = EARTH_KM * math.pi / 180.0
 
 
@@ -33,7 +34,7 @@ def _cell(lat: Column, lon: Column, level: Column) -> tuple[Column, Column]:
 
 
 def _at_all_levels(df: DataFrame, lat: str, lon: str, finest: int) -> DataFrame:
-    leveled = df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
+    leveled = df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(finest), F.lit(LEVEL_STEP))))
     cy, cx = _cell(F.col(lat), F.col(lon), F.col("_level"))
     return leveled.withColumns({"_cy": cy, "_cx": cx})
 
@@ -69,6 +70,7 @@ def nearest_point(
     # 2. the cells that the circle can touch, at the finest level with cells >= r
     level = F.least(F.lit(finest), F.greatest(
         F.lit(0), F.floor(F.log2(F.lit(360.0) / F.col("_r"))))).cast("int")
+    level = level - level % LEVEL_STEP
     lat, lon, r = F.col(q_lat), F.col(q_lon), F.col("_r")
     side = _side(F.col("_level"))
     polar = F.abs(lat) + r >= 89.9

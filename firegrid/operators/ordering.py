@@ -14,22 +14,17 @@ from pyspark.sql import functions as F
 STEPS = 10  # 2**10 = 1024 equal-count buckets
 
 
-def equal_count_bounds(df: DataFrame, value: str, steps: int = STEPS) -> Column:
-    """Scalar subquery with ``2**steps - 1`` approximate quantiles of ``value``.
-
-    The bounds only balance the buckets: results are exact for any bounds.
-    """
+def cut_points(steps: int) -> Column:
+    """The probabilities that cut a distribution into ``2**steps`` parts."""
     n = 2**steps
-    cuts = F.expr("array(" + ", ".join(f"{i / n!r}D" for i in range(1, n)) + ")")
-    return df.agg(F.percentile_approx(value, cuts, F.lit(10000))).scalar()
+    return F.expr("array(" + ", ".join(f"{i / n!r}D" for i in range(1, n)) + ")")
 
 
-def with_bucket(df: DataFrame, value: str, steps: int = STEPS) -> DataFrame:
-    """Add ``_bucket``, the number of bounds <= value.
+def bisect(rows: DataFrame, value: str, steps: int) -> DataFrame:
+    """Replace ``_bounds`` (``2**steps - 1`` sorted values) by ``_bucket``, the number of bounds <= value.
 
-    One projection per bisection step: all of them stay in one codegen stage.
+    One projection per step: all of them stay in one codegen stage.
     """
-    rows = df.withColumn("_bounds", equal_count_bounds(df, value, steps))
     rows = rows.withColumn("_bucket", F.lit(0))
     for k in reversed(range(steps)):
         bound = F.get("_bounds", F.col("_bucket") + (2**k - 1))
@@ -38,6 +33,16 @@ def with_bucket(df: DataFrame, value: str, steps: int = STEPS) -> DataFrame:
     return rows.drop("_bounds")
 
 
+def with_bucket(df: DataFrame, value: str, steps: int = STEPS) -> DataFrame:
+    """Add ``_bucket``: approximate quantiles of ``value`` cut the table into equal counts.
+
+    The bounds are a scalar subquery. They only balance the buckets: results built on
+    them are exact for any bounds.
+    """
+    sketch = df.agg(F.percentile_approx(value, cut_points(steps), F.lit(10000))).scalar()
+    return bisect(df.withColumn("_bounds", sketch), value, steps)
+
+
 def running_total(
     df: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False
 ) -> DataFrame:

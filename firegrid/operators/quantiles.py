@@ -1,10 +1,10 @@
 """Exact interpolated quantiles for groups of any size.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one task. Here
-a mergeable sketch first brackets each wanted quantile, the rows below the bracket are
-only counted, and just the bracket (about 0.2 % of a large group) is counted by value.
-The bracket is then cut into sub-ranges, so that only the one holding the wanted rank
-is ever sorted. The result is exact; a bracket that missed would raise, never mislead.
+Values are first counted per (group, value), map-side. A group with few distinct values is
+then ranked by one window. A group with more than ``ONE_TASK`` distinct values is cut into
+256 ranges of equal count by a mergeable sketch; the range totals tell which range holds a
+wanted rank, and only that range is ranked, each in its own task. Both ways are exact: the
+sketch only balances the ranges. Without large groups the second way is pruned at run time.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MARGIN = 1e-3       # half width of the bracket, in probability; the sketch errs by 1e-4
-WHOLE_BELOW = 8192  # smaller groups are bracketed as a whole
-SUB_RANGES = 4096
+from firegrid.operators.ordering import bisect, cut_points
+
+ONE_TASK = 1_000_000
+STEPS = 8
 
 
 def to_long(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -23,71 +24,60 @@ def to_long(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     return df.select(*by, F.inline(F.array(*pairs))).where(F.col("x").isNotNull())
 
 
+def _pick(ranked: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles from ``n`` (rows of the group) and ``end`` (rows up to and with the value)."""
+    def at(rank):
+        return F.min(F.when(F.col("end") > rank, F.col("x")))
+
+    out = []
+    for k, p in enumerate(probs):
+        pos = F.lit(p) * (F.col("n") - 1)
+        out += [at(F.floor(pos)).alias(f"lo{k}"), at(F.ceil(pos)).alias(f"hi{k}")]
+    picked = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *out)
+    exact = []
+    for k, p in enumerate(probs):
+        pos = F.lit(p) * (F.col("n") - 1)
+        exact.append((F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (pos - F.floor(pos))).alias(f"q{k}"))
+    return picked.select(*keys, "n", *exact)
+
+
+def _by_window(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    return _pick(counts.withColumns({"n": F.sum("c").over(group), "end": F.sum("c").over(upto)}), keys, probs)
+
+
+def _by_ranges(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx("x", cut_points(STEPS), F.lit(10000)).alias("_bounds"))
+    ranged = bisect(counts.join(F.broadcast(bounds), keys), "x", STEPS)  # one row per calendar group
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_bucket").agg(F.sum("c").alias("t")).withColumns({
+        "n": F.sum("t").over(group), "before": F.coalesce(F.sum("t").over(earlier), F.lit(0))})
+    wanted = F.lit(False)
+    for p in probs:
+        pos = F.lit(p) * (F.col("n") - 1)
+        wanted = wanted | ((F.col("before") <= F.ceil(pos)) & (F.floor(pos) < F.col("before") + F.col("t")))
+    kept = ranged.join(totals.where(wanted), [*keys, "_bucket"])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    return _pick(kept.withColumn("end", F.col("before") + F.sum("c").over(inside)), keys, probs)
+
+
 def exact_quantiles(
     df: DataFrame, values: list[str], probs: list[float], by: list[str] | None = None,
-    small_groups: bool = True,
+    one_task: int = ONE_TASK,
 ) -> DataFrame:
     """One row per (by, variable): ``n`` and ``q0 .. qk``, linear interpolation.
 
-    ``small_groups`` states that the number of groups (not of rows) is bounded, as for
-    calendar days or weeks; only then are the per-group brackets broadcast.
+    ``by`` must be a calendar key (day, week, bin) or empty, so that the number of groups is
+    bounded; the number of rows in a group is not.
     """
-    by = list(by or [])
-    keys = [*by, "variable"]
-    long = to_long(df, by, values)
-    cuts = [c for p in probs for c in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
-    grid = F.expr("array(" + ", ".join(f"{c!r}D" for c in cuts) + ")")
-    sketch = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("x", grid, F.lit(10000)).alias("cut"))
-    small = F.col("n") < WHOLE_BELOW
-    parts = []
-    for i, p in enumerate(probs):
-        lo = F.when(~small & F.lit(p - MARGIN > 0), F.get("cut", F.lit(2 * i)))
-        hi = F.when(~small & F.lit(p + MARGIN < 1), F.get("cut", F.lit(2 * i + 1)))
-        parts.append(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("pos"),
-                              lo.alias("lo"), hi.alias("hi")))
-    brackets = sketch.select(*keys, "n", F.array(*parts).alias("brackets"))
-    if small_groups:
-        brackets = F.broadcast(brackets)
-    group = [*keys, "n", "i", "pos", "lo", "hi"]
-    counted = (
-        long.join(brackets, keys)
-        .select(*keys, "n", "x", F.inline("brackets"))
-        .where(F.col("hi").isNull() | (F.col("x") <= F.col("hi")))
-        .withColumn("x", F.when(F.col("lo").isNull() | (F.col("x") >= F.col("lo")), F.col("x")))
-        .groupBy(*group, "x").agg(F.count(F.lit(1)).alias("c"))
-    )
-    span = F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo"))
-    sub = F.when(F.col("x").isNull(), -1).otherwise(
-        F.coalesce(F.floor(span * SUB_RANGES).cast("int"), F.lit(0)))
-    counted = counted.withColumn("sub", sub)
-    earlier = Window.partitionBy(*keys, "i").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        counted.groupBy(*keys, "i", "pos", "sub").agg(F.sum("c").alias("t"))
-        .withColumn("before", F.coalesce(F.sum("t").over(earlier), F.lit(0)))
-        .where((F.col("before") <= F.ceil("pos")) & (F.col("before") + F.col("t") > F.floor("pos")))
-        .select(*keys, "i", "sub", "before")
-    )
-    inside = Window.partitionBy(*keys, "i", "sub").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        counted.join(wanted, [*keys, "i", "sub"])
-        .withColumn("end", F.col("before") + F.sum("c").over(inside))
-        .withColumn("start", F.col("end") - F.col("c"))
-    )
-
-    def at(rank):
-        return F.max(F.when((F.col("start") <= rank) & (rank < F.col("end")), F.col("x")))
-
-    picked = (
-        placed.groupBy(*keys, "n", "i", "pos")
-        .agg(at(F.floor("pos")).alias("v0"), at(F.ceil("pos")).alias("v1"))
-        .withColumn("q", F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("pos") - F.floor("pos")))
-        .withColumn("q", F.when(F.col("q").isNull(), F.raise_error("quantile outside its bracket"))
-                    .otherwise(F.col("q")))
-    )
-    return picked.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("i") == k, F.col("q"))).alias(f"q{k}") for k in range(len(probs))])
+    keys = [*(by or []), "variable"]
+    counts = to_long(df, list(by or []), values).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+    large = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > one_task)
+    large = F.broadcast(large.select(*keys))  # a subset of the calendar groups
+    return _by_window(counts.join(large, keys, "left_anti"), keys, probs).unionByName(
+        _by_ranges(counts.join(large, keys, "left_semi"), keys, probs))
 
 
 def quantiles_wide(

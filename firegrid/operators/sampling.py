@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from firegrid.functions.calendar import mid_week, week_start, week_text
 from firegrid.functions.spatial import with_centre
 from firegrid.operators.ordering import hash_rank, seeded_hash
+from firegrid.session import written
 
 
 def all_weeks(df: DataFrame, date: str = "acq_date") -> DataFrame:
@@ -37,7 +38,9 @@ def negative_samples(
     ``positives`` has grid_id, week and ``date``; ``weeks`` is (first Monday, count).
     """
     spark = positives.sparkSession
-    known = positives.select("grid_id", "week").distinct()
+    # Both key lists are used several times below, so they are computed once and stored.
+    known = written(positives.select("grid_id", "week").distinct(), "known")
+    cells = written(cells.select("grid_id"), "cells")
     if weeks is None:
         ends = positives.agg(week_start(F.min(date)).alias("a"), week_start(F.max(date)).alias("b")).first()
         weeks = (ends.a, (ends.b - ends.a).days // 7 + 1)
@@ -56,7 +59,7 @@ def negative_samples(
         F.floor(F.col("pick") / n_weeks).alias("cell_no") if total < 2**52
         else F.expr(f"pick div {n_weeks}").alias("cell_no"),
         (F.col("pick") % n_weeks).cast("int").alias("week_no"))
-    numbered = hash_rank(cells.select("grid_id"), [], "grid_id", seed, "cell_no")
+    numbered = hash_rank(cells, [], "grid_id", seed, "cell_no")
     start = F.date_add(F.lit(first).cast("date"), F.col("week_no") * 7)
     pairs = drawn.join(numbered, "cell_no").select("grid_id", start.alias("_start"))
     pairs = pairs.withColumn("week", week_text("_start"))

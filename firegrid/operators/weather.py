@@ -127,8 +127,11 @@ def _rank_edges(df: DataFrame, vpd: str) -> DataFrame:
     return shares.groupBy("date_bin").agg(F.percentile("share", cuts, F.col("m")).alias("edges"))
 
 
-def vpd_risk(df: DataFrame, vpd: str = "vbdmax") -> DataFrame:
-    """Quintile class of the rank share within the location, cut over the whole bin."""
+def vpd_risk(df: DataFrame, vpd: str = "vbdmax", base: DataFrame | None = None) -> DataFrame:
+    """Quintile class of the rank share within the location, cut over the whole bin.
+
+    ``base`` may be a shorter plan with the same rows, from which the edges are taken.
+    """
     if not {vpd, *LOC} <= set(df.columns):
         return df.withColumn("vpd_risk_category", F.lit(1))
     w = Window.partitionBy(*LOC)
@@ -136,7 +139,7 @@ def vpd_risk(df: DataFrame, vpd: str = "vbdmax") -> DataFrame:
     share = F.when(
         F.col(vpd).isNotNull(), F.row_number().over(order) / F.count(vpd).over(w))
     ranked = df.withColumn("_share", share)
-    edges = _rank_edges(df, vpd)  # one row per bin of calendar days
+    edges = _rank_edges(df if base is None else base, vpd)  # one row per bin of calendar days
     joined = ranked.join(F.broadcast(edges), "date_bin", "left")
     s, e = F.col("_share"), F.col("edges")
     category = (
@@ -217,10 +220,14 @@ def compound_indices(df: DataFrame) -> DataFrame:
 
 
 def robust_scale(
-    df: DataFrame, columns: list[str], prefix: str = "normalized_", by: tuple[str, ...] = ("date_bin",)
+    df: DataFrame, columns: list[str], prefix: str = "normalized_", by: tuple[str, ...] = ("date_bin",),
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """(x - median) / interquartile range per bin; a zero range divides by 1."""
-    q = quantiles_wide(df, columns, [0.25, 0.5, 0.75], list(by))
+    """(x - median) / interquartile range per bin; a zero range divides by 1.
+
+    ``base`` may be a shorter plan with the same rows, from which the quartiles are taken.
+    """
+    q = quantiles_wide(df if base is None else base, columns, [0.25, 0.5, 0.75], list(by))
     joined = df.join(F.broadcast(q), list(by), "left") if by else df.join(F.broadcast(q))
     scaled = {}
     for c in columns:
@@ -233,14 +240,14 @@ def robust_scale(
 def engineer_features(df: DataFrame, opts: Features = Features()) -> DataFrame:
     """The full feature set for training."""
     have = set(df.columns)
-    out = date_bins(df, opts.chunk_days) if "date_bin" not in have else df
+    base = out = date_bins(df, opts.chunk_days) if "date_bin" not in have else df
     if opts.hot_dry and {"tmax", "ppt"} <= have:
         out = hot_dry_index(out, opts.hot_above, opts.dry_below)
     if opts.spi and "ppt" in have:
         out = spi(out, opts.lookback)
     if opts.vpd and "vbdmax" in have:
         out = vpd_extremes(out, opts.extreme_percentile)
-        out = vpd_risk(out)
+        out = vpd_risk(out, base=base)
     if opts.temporal:
         out = temporal_features(out)
     if opts.rolling:
@@ -249,7 +256,7 @@ def engineer_features(df: DataFrame, opts: Features = Features()) -> DataFrame:
         out = compound_indices(out)
     scalable = [c for c in ("tmax", "ppt", "vbdmax") if c in have]
     if opts.scaled and scalable:
-        out = robust_scale(out, scalable)
+        out = robust_scale(out, scalable, base=base)
     return out
 
 
