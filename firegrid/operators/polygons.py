@@ -31,9 +31,10 @@ def edge_bands(edges: DataFrame, bands: int = BANDS) -> Column:
 
     It grows with the outline only (a state boundary has some hundred corners).
     """
-    box = edges.agg(F.min(F.least("y1", "y2")).alias("lo"), F.max(F.greatest("y1", "y2")).alias("hi"))
-    # one row, so the broadcast is bounded
-    sized = edges.join(F.broadcast(box.withColumn("step", (F.col("hi") - F.col("lo")) / bands)))
+    box = edges.agg(F.struct(
+        F.min(F.least("y1", "y2")).alias("lo"), F.max(F.greatest("y1", "y2")).alias("hi")).alias("s")).scalar()
+    sized = edges.withColumn("_box", box).withColumns({
+        "lo": F.col("_box.lo"), "step": (F.col("_box.hi") - F.col("_box.lo")) / bands})
 
     def slot(y):
         return F.floor(F.try_divide(y - F.col("lo"), F.col("step"))).cast("int")

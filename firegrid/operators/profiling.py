@@ -212,9 +212,9 @@ def scale_yeojohnson(df: DataFrame, columns: list[str], prefix: str = "yeojohnso
     """Yeo-Johnson transform of largest likelihood, then zero mean and unit deviation."""
     lams = yeo_johnson_lambdas(df, columns)
     wide = lams.agg(*[F.max(F.when(F.col("variable") == c, F.col("lam"))).alias(f"_l_{c}") for c in columns])
-    power = df.join(F.broadcast(wide)).withColumns({
-        f"{prefix}{c}": yeo_johnson(F.col(c).cast("double"), F.coalesce(F.col(f"_l_{c}"), F.lit(1.0)))
-        for c in columns}).drop(*wide.columns)
+    power = df.withColumn("_l", wide.select(F.struct(*wide.columns)).scalar()).withColumns({
+        f"{prefix}{c}": yeo_johnson(F.col(c).cast("double"), F.coalesce(F.col(f"_l._l_{c}"), F.lit(1.0)))
+        for c in columns}).drop("_l")
     names = [f"{prefix}{c}" for c in columns]
     return scale_zscore(power, names, "").select(*df.columns, *names)
 

@@ -38,22 +38,34 @@ class Features:
     extreme_percentile: float = 0.9
 
 
+def date_span(df: DataFrame, date: str = "date") -> Column:
+    """Scalar subquery struct(lo, hi): first and last day."""
+    return df.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("s")).scalar()
+
+
+def bin_starts(df: DataFrame, span: Column, chunk_days: int | None = 7, date: str = "date") -> DataFrame:
+    """Add ``date_bin`` as the first day of the bin: a four-byte key for windows and joins."""
+    lo = span["lo"]
+    start = lo if chunk_days is None else F.date_sub(date, F.datediff(date, lo) % chunk_days)
+    return df.withColumn("date_bin", start)
+
+
+def label_bins(df: DataFrame, span: Column, chunk_days: int | None = 7) -> DataFrame:
+    """Turn the bin's first day into the text ``start_end``, the end capped at the last day."""
+    end = span["hi"]
+    if chunk_days is not None:
+        end = F.least(F.date_add("date_bin", chunk_days - 1), end)
+    label = F.concat_ws("_", F.col("date_bin").cast("string"), end.cast("string"))
+    return df.withColumn("date_bin", label)
+
+
 def date_bins(df: DataFrame, chunk_days: int | None = 7, date: str = "date") -> DataFrame:
     """Add ``date_bin`` (``start_end``, end capped at the last day) counted from the first day.
 
     ``chunk_days=None`` puts the whole history into one bin.
     """
-    span = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    df = df.withColumns({"_lo": lo, "_hi": hi})
-    if chunk_days is None:
-        start, end = F.col("_lo"), F.col("_hi")
-    else:
-        back = F.datediff(date, "_lo") % chunk_days
-        start = F.date_sub(date, back)
-        end = F.least(F.date_add(date, chunk_days - 1 - back), F.col("_hi"))
-    label = F.concat_ws("_", start.cast("string"), end.cast("string"))
-    return df.withColumn("date_bin", label).drop("_lo", "_hi")
+    span = date_span(df, date)
+    return label_bins(bin_starts(df, span, chunk_days, date), span, chunk_days)
 
 
 def _minmax(x: Column, w) -> Column:
@@ -228,19 +240,24 @@ def robust_scale(
     ``base`` may be a shorter plan with the same rows, from which the quartiles are taken.
     """
     q = quantiles_wide(df if base is None else base, columns, [0.25, 0.5, 0.75], list(by))
-    joined = df.join(F.broadcast(q), list(by), "left") if by else df.join(F.broadcast(q))
+    names = [f"{c}_q{k}" for c in columns for k in range(3)]
+    if by:
+        joined = df.join(F.broadcast(q.withColumn("_q", F.struct(*names)).drop(*names)), list(by), "left")
+    else:
+        joined = df.withColumn("_q", q.select(F.struct(*names)).scalar())
     scaled = {}
     for c in columns:
-        spread = F.col(f"{c}_q2") - F.col(f"{c}_q0")
-        scaled[f"{prefix}{c}"] = (F.col(c) - F.col(f"{c}_q1")) / F.coalesce(
-            F.nullif(spread, F.lit(0.0)), F.lit(1.0))
+        low, middle, high = (F.col(f"_q.{c}_q{k}") for k in range(3))
+        scaled[f"{prefix}{c}"] = (F.col(c) - middle) / F.coalesce(
+            F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
     return joined.withColumns(scaled).select(*df.columns, *scaled)
 
 
 def engineer_features(df: DataFrame, opts: Features = Features()) -> DataFrame:
     """The full feature set for training."""
     have = set(df.columns)
-    base = out = date_bins(df, opts.chunk_days) if "date_bin" not in have else df
+    span = None if "date_bin" in have else date_span(df)
+    base = out = df if span is None else bin_starts(df, span, opts.chunk_days)
     if opts.hot_dry and {"tmax", "ppt"} <= have:
         out = hot_dry_index(out, opts.hot_above, opts.dry_below)
     if opts.spi and "ppt" in have:
@@ -257,7 +274,7 @@ def engineer_features(df: DataFrame, opts: Features = Features()) -> DataFrame:
     scalable = [c for c in ("tmax", "ppt", "vbdmax") if c in have]
     if opts.scaled and scalable:
         out = robust_scale(out, scalable, base=base)
-    return out
+    return out if span is None else label_bins(out, span, opts.chunk_days)
 
 
 def feature_run_summary(df: DataFrame, chunk_days: int = 7, date: str = "date") -> DataFrame:
