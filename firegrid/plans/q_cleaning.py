@@ -33,10 +33,9 @@ def _(t):
     return c.drop_null_rows(c.sentinels_to_null(t.raw_weather()))
 
 
-@query("drop_dups", RAW, "SELECT DISTINCT * FROM (SELECT * FROM raw_weather_v UNION ALL SELECT * FROM raw_weather_v WHERE row_key%10=0) u")
+@query("drop_dups", RAW, "SELECT DISTINCT * FROM (SELECT * FROM raw_weather_v UNION ALL SELECT * FROM raw_weather_v) u")
 def _(t):
-    raw = t.raw_weather()
-    return c.drop_duplicate_rows(raw.unionByName(raw.where(F.col("row_key") % 10 == 0)))
+    return c.drop_duplicate_rows(t.raw_weather().unionByName(t.raw_weather()))
 
 
 @query("valid_coords", FIRE, f"SELECT * FROM ({HALF}) h WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
