@@ -135,12 +135,33 @@ def _(t):
     return p.scale_robust(t.weather(), COLS)
 
 
-@query("scale_yeojohnson", f"{KEY} yeojohnson_tmax:r yeojohnson_ppt:r yeojohnson_vbdmax:r")
+_COARSE = q.best_lambda(LONG, " UNION ALL ".join(
+    f"SELECT '{c}' AS v, CAST(i AS DOUBLE)/4e0 AS lam FROM range(-16, 17) AS g(i)" for c in COLS))
+
+
+def _around(found: str, step: str) -> str:
+    return q.best_lambda(LONG, f"SELECT variable AS v, lam + CAST(i AS DOUBLE)*{step} AS lam FROM ({found}) f, range(-10, 11) AS g(i)")
+
+
+LAMBDAS = _around(_around(_COARSE, "0.025e0"), "0.0025e0")
+POWERS = "SELECT w.station, w.date, " + ", ".join(
+    f"{q.yeo_johnson(c, f'l_{c}')} AS y_{c}" for c in COLS) + f""" FROM weather_v w,
+ (SELECT {', '.join(f"max(lam) FILTER (WHERE variable='{c}') AS l_{c}" for c in COLS)} FROM ({LAMBDAS}) f) k"""
+
+
+@query("scale_yeojohnson", f"{KEY} yeojohnson_tmax:r yeojohnson_ppt:r yeojohnson_vbdmax:r", "SELECT station, date, " + ", ".join(
+    f"(y_{c} - avg(y_{c}) OVER ())/stddev_pop(y_{c}) OVER () AS yeojohnson_{c}" for c in COLS) + f" FROM ({POWERS}) p")
 def _(t):
     return p.scale_yeojohnson(t.weather(), COLS)
 
 
-@query("scale_quantile", f"{KEY} quantile_tmax:r quantile_ppt:r quantile_vbdmax:r")
+SHARES = "SELECT station, date, " + ", ".join(
+    f"greatest(least((rank() OVER (ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY {c}) - 1)/2e0)/(count(*) OVER () - 1), 1e0-1e-7), 1e-7) AS p_{c}"
+    for c in COLS) + " FROM weather_v"
+
+
+@query("scale_quantile", f"{KEY} quantile_tmax:r quantile_ppt:r quantile_vbdmax:r", "SELECT station, date, " + ", ".join(
+    f"{q.inverse_normal(f'p_{c}')} AS quantile_{c}" for c in COLS) + f" FROM ({SHARES}) s")
 def _(t):
     return p.scale_quantile(t.weather(), COLS)
 

@@ -120,3 +120,34 @@ def md5(key: str, seed) -> str:
 def sample_skew(x: str) -> str:
     """Sample-corrected skewness from central moments; ``x`` needs no NULLs removed."""
     return f"skewness({x})"
+
+
+# Fixed values of the inverse normal approximation, as in functions/scalar.py.
+def inverse_normal(p: str) -> str:
+    from firegrid.functions.scalar import NORM_A, NORM_B, NORM_C, NORM_D, NORM_LOW
+
+    def poly(coeffs, x):
+        text = d(repr(coeffs[0]))
+        for c in coeffs[1:]:
+            text = f"({text}*{x}+{d(repr(c))})"
+        return text
+
+    def tail(q):
+        return f"{poly(NORM_C, q)}/({poly(NORM_D, q)}*{q}+1e0)"
+
+    low, high = f"sqrt(-2e0*ln({p}))", f"sqrt(-2e0*ln(1e0-{p}))"
+    mid, r = f"({p}-0.5e0)", f"(({p}-0.5e0)*({p}-0.5e0))"
+    return (f"CASE WHEN {p} < {d(repr(NORM_LOW))} THEN {tail(low)} WHEN {p} > {d(repr(1 - NORM_LOW))} THEN -({tail(high)})"
+            f" ELSE {poly(NORM_A, r)}*{mid}/({poly(NORM_B, r)}*{r}+1e0) END")
+
+
+def yeo_johnson(x: str, lam: str) -> str:
+    return (f"CASE WHEN {x} >= 0e0 THEN CASE WHEN abs({lam}) < 1e-9 THEN ln(1e0+{x}) ELSE (pow({x}+1e0,{lam})-1e0)/{lam} END"
+            f" ELSE CASE WHEN abs(2e0-{lam}) < 1e-9 THEN -ln(1e0-{x}) ELSE -(pow(1e0-{x},2e0-{lam})-1e0)/(2e0-{lam}) END END")
+
+
+def best_lambda(long: str, grid: str) -> str:
+    """(variable, lam) of largest likelihood; ``grid`` is a relation (v, lam)."""
+    return f"""SELECT variable, lam FROM (SELECT variable, lam, -count(*)/2e0*ln(var_pop(y)) + (lam-1e0)*sum(sign(x)*ln(1e0+abs(x))) AS ll
+ FROM (SELECT l.variable, l.x, g.lam, {yeo_johnson('l.x', 'g.lam')} AS y FROM ({long}) l JOIN ({grid}) g ON l.variable = g.v) t
+ GROUP BY variable, lam HAVING var_pop(y) > 0e0) s QUALIFY row_number() OVER (PARTITION BY variable ORDER BY ll DESC, lam) = 1"""

@@ -38,8 +38,7 @@ def test_query(spark, db, name):
 def test_all_operators_are_registered():
     assert len(load()) == 111
     assert set(load()) - set(ORACLE) == {
-        "train_gbt", "cv_auc", "score_batch", "feature_importance", "permutation_importance", "model_roundtrip",
-        "scale_yeojohnson", "scale_quantile"}
+        "train_gbt", "cv_auc", "score_batch", "feature_importance", "permutation_importance", "model_roundtrip"}
 
 
 def test_features_shuffle_rows_once(spark):
