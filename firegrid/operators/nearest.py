@@ -1,23 +1,32 @@
 """Exact nearest point by great-circle distance, as equi-joins on cells of a pyramid.
 
-Level k (0, 2, 4 ..) cuts the globe into cells of 360 / 2**k degrees. The finest level at which a
-query shares its cell with some point gives a point nearby, hence an upper bound r for the
-nearest distance. The cells that a circle of radius r can touch are then looked up at
-the finest level whose cells are larger than r: at most three rows of latitude, and few
-columns. No pair outside these cells is ever formed, so neither a full product nor a
-search-radius limit is needed.
+Level k (0, 2, 4 ..) cuts the globe into cells of 360 / 2**k degrees.
+
+1. The finest level at which a query shares its cell with some point gives a point nearby,
+   hence an upper bound r for the nearest distance.
+2. The cells that a circle of radius r can touch are listed at the finest level whose cells
+   are larger than r: at most three rows of latitude, and few columns.
+3. Each of them is split into its occupied cells four levels down (at most 256). One point
+   of each such cell tightens the bound, and cells that cannot hold anything nearer go.
+4. Only the points of the cells left are compared.
+
+So a query meets a bounded number of cells, and a dense cluster, near or far, is read only
+where it faces the query. No search-radius limit is needed.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firegrid.functions.spatial import EARTH_KM, haversine_km
 
-FINEST = 14  # 0.022 degrees, about 2.4 km
+FINEST = 20  # 0.00034 degrees, about 38 m
+POLAR = 88.0
+POLAR_LEVEL = 6  # 64 columns
+DOWN = 4     # levels between a searched cell and its parts
 LEVEL_STEP = 2  # only every second level is used: half the rows, cells of at most 4 r
 KM_PER_DEGREE = EARTH_KM * math.pi / 180.0
 
@@ -72,8 +81,10 @@ def nearest_point(
         F.lit(0), F.floor(F.log2(F.lit(360.0) / F.col("_r"))))).cast("int")
     level = level - level % LEVEL_STEP
     lat, lon, r = F.col(q_lat), F.col(q_lon), F.col("_r")
+    # a circle near a pole touches all columns: stay where there are few
+    polar = F.abs(lat) + r >= POLAR
+    level = F.when(polar, F.least(level, F.lit(POLAR_LEVEL))).otherwise(level)
     side = _side(F.col("_level"))
-    polar = F.abs(lat) + r >= 89.9
     reach = F.degrees(F.asin(F.least(
         F.lit(1.0), F.sin(F.radians(r)) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9)))))
     wide = polar | (r >= 90.0) | (2.0 * reach + side >= 360.0)
@@ -89,7 +100,31 @@ def nearest_point(
         .withColumn("_cx", F.pmod(F.col("_cx"), columns))
         .drop("_r")
     )
-    pairs = searched.join(p_cells, cell_keys)
+
+    # 3. their occupied parts; a cell is at most two sides wide, so its points are no nearer
+    #    than its known point minus that
+    own = F.col("_level")
+    parents = F.filter(
+        F.array(own - DOWN, *[F.when(own == finest, own - k) for k in range(0, DOWN, LEVEL_STEP)]),
+        lambda v: v >= 0)
+    parts = (
+        occupied.withColumn("_up", F.explode(parents))
+        .withColumn("_shift", F.pow(F.lit(2.0), own - F.col("_up")))
+        .select(*by, F.col("_up").alias("_level"),
+                F.floor(F.col("_cy") / F.col("_shift")).cast("int").alias("_cy"),
+                F.floor(F.col("_cx") / F.col("_shift")).cast("int").alias("_cx"),
+                own.alias("_sub"), F.col("_cy").alias("_sy"), F.col("_cx").alias("_sx"), "_some"))
+    known = haversine_km(F.col(q_lat), F.col(q_lon), F.col(f"_some.{p_lat}"), F.col(f"_some.{p_lon}"))
+    per_query = Window.partitionBy(*by, q_lat, q_lon)  # at most 256 parts of a few cells
+    slack = 2.0 * KM_PER_DEGREE * _side(F.col("_sub")) + 1e-4
+    left = (
+        searched.join(parts, cell_keys).withColumn("_km", known)
+        .withColumn("_best", F.min("_km").over(per_query))
+        .where(F.col("_km") - slack <= F.col("_best"))
+        .select(*by, q_lat, q_lon, F.col("_sub").alias("_level"), F.col("_sy").alias("_cy"), F.col("_sx").alias("_cx")))
+
+    # 4. the points themselves
+    pairs = left.join(p_cells, cell_keys)
     km = haversine_km(F.col(q_lat), F.col(q_lon), F.col(p_lat), F.col(p_lon))
     best = pairs.groupBy(*by, q_lat, q_lon).agg(
         F.min(F.struct(F.round(km, decimals).alias("km"), F.col(p_lat), F.col(p_lon))).alias("_b"))

@@ -43,7 +43,7 @@ def brute(q, pts):
     return 2 * 6371 * np.arcsin(np.sqrt(np.minimum(h, 1)))
 
 
-@pytest.mark.parametrize("area", ["world", "poles", "date line", "dense", "far"])
+@pytest.mark.parametrize("area", ["world", "poles", "at the pole", "date line", "dense", "far", "one spot"])
 def test_nearest_equals_brute_force(spark, area):
     rng = np.random.default_rng(5)
     n, m = 150, 200
@@ -51,6 +51,11 @@ def test_nearest_equals_brute_force(spark, area):
     plat, plon = rng.uniform(-89.9, 89.9, m), rng.uniform(-180, 180, m)
     if area == "poles":
         lat = np.where(rng.random(n) < 0.5, 1, -1) * rng.uniform(88, 90, n)
+    if area == "at the pole":
+        lat, plat = rng.uniform(89.5, 90, n), rng.uniform(89.5, 90, m)
+    if area == "one spot":  # a cluster of some metres, seen from inside and from elsewhere
+        lat[: n // 2], lon[: n // 2] = rng.uniform(34, 34.0001, n // 2), rng.uniform(-119, -118.9999, n // 2)
+        plat, plon = rng.uniform(34, 34.0001, m), rng.uniform(-119, -118.9999, m)
     if area == "date line":
         lon = np.where(rng.random(n) < 0.5, 179.9, -179.9)
         plon = np.where(rng.random(m) < 0.5, 1, -1) * rng.uniform(175, 180, m)
