@@ -107,7 +107,8 @@ def levels(docs: DataFrame) -> np.ndarray:
 
 def _sid(s: np.ndarray) -> int:
     m = mix(s + np.uint64(0x632BE59BD9B4E019))
-    return int(mix(np.array([m.sum() ^ np.bitwise_xor.reduce(m) ^ np.uint64(len(s))], np.uint64))[0].astype(np.int64))
+    h = mix(np.array([m.sum()], np.uint64) + np.uint64(len(s)))
+    return int(mix(h + np.bitwise_xor.reduce(mix(m + np.uint64(1))))[0].astype(np.int64))
 
 
 def prefix_length(n: int) -> int:
