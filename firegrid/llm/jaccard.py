@@ -7,8 +7,8 @@
    index, so a group of thousands of near copies is one entry of each list, not thousands.
 3. Index lists hold (position, size) of each star and are cut into blocks by size; a block pair whose sizes or
    positions cannot reach the threshold is skipped whole, the rest entry by entry.
-4. Centres of candidate stars are compared exactly. Answers of the other members follow from the centre's: Jaccard distance
-   is a metric, so a member pair at distance d(a, b) - d(a, x) - d(b, y) above the limit is skipped
+4. Centres of candidate stars are compared exactly. Answers of the other members follow from the centre's: a member x of a and a
+   member y of b share at most |a & b| + |x - a| + |y - b| shingles. Pairs for which that is too little are skipped
    without being looked at; only what is left is compared.
 5. Links become components.
 
@@ -34,9 +34,8 @@ from firegrid.session import written
 
 K, PART, WHOLE = 4, 85, 100  # a link: WHOLE * |intersection| >= PART * |union|
 SLOTS, COMMON, CHUNK, PIECE = 1 << 21, 4, 1 << 22, 1 << 20
-BANDS, ROWS = 4, 3
+BANDS, ROWS, HEADS = 4, 3, 3
 LIST = 128
-LIMIT = 1 - PART / WHOLE
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) & 0xFFFFFFFFFFFFFFFF | 1) for i in range(BANDS * ROWS)]
 
 
@@ -175,74 +174,86 @@ def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 LINKED = f"{WHOLE} * inter >= {PART} * whole"
-DISTANCE = "1 - inter / whole"
 
 
 def stars(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sid, star, far) of every node, far its distance from the star's centre; and the linked pairs (a, b) found on the way."""
+    """(sid, star, extra) of every node, extra the number of its shingles that the star's centre lacks; and the linked pairs (a, b) found on the way."""
     banded = nodes.select("sid", F.posexplode("bands").alias("k", "band"))
-    heads = banded.groupBy("k", "band").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    pairs = banded.join(heads, ["k", "band"]).where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b")).distinct()
-    seen = written(compare(pairs, docs, nodes).where(LINKED).select("a", "b", F.expr(DISTANCE).alias("far")), "near")
-    first = seen.groupBy("a").agg(F.min(F.struct("b", "far")).alias("m")).select(F.col("a").alias("sid"), "m.b", "m.far")
-    first = first.join(first.select(F.col("sid").alias("b")), "b", "left_anti")  # a centre is attached to nothing
-    out = nodes.select("sid").join(first, "sid", "left").select(
-        "sid", F.coalesce("b", "sid").alias("star"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    heads = banded.groupBy("k", "band").agg(
+        F.count(F.lit(1)).alias("c"), F.array(F.min("sid"), *(F.min_by("sid", F.xxhash64(F.lit(i), "sid")) for i in range(1, HEADS))).alias("heads"))
+    heads = heads.where("c > 1").select("k", "band", F.explode(F.array_distinct("heads")).alias("head"))
+    pairs = banded.join(heads, ["k", "band"]).where("sid <> head").select(
+        F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b")).distinct()
+    seen = written(compare(pairs, docs, nodes).where(LINKED).select("a", "b", "inter"), "near")
+    both = seen.union(seen.select("b", "a", "inter"))
+    # a centre has more links than every node it is linked with; the smaller id wins a tie
+    rank = both.groupBy("a").agg(F.struct(F.count(F.lit(1)).alias("links"), (-F.col("a")).alias("id")).alias("rank"))
+    ranked = both.join(rank.select(F.col("a").alias("b"), F.col("rank").alias("theirs")), "b")
+    best = ranked.groupBy("a").agg(F.max("theirs").alias("best")).join(rank, "a")
+    centres = best.where("rank > best").select(F.col("a").alias("b"))
+    first = ranked.join(centres, "b").groupBy("a").agg(F.max(F.struct("theirs", "b", "inter")).alias("m")).select(
+        F.col("a").alias("sid"), "m.b", "m.inter")
+    out = nodes.select("sid", "n").join(first, "sid", "left").select(
+        "sid", F.coalesce("b", "sid").alias("star"), (F.col("n") - F.coalesce("inter", "n")).alias("extra"), "n")
     return written(out, "stars"), seen.select("a", "b")
 
 
 def _pair_up(batches):
-    """Star pairs of two blocks of a list, after skipping by size and position."""
+    """Star pairs of two blocks of a list (or one block with itself), after skipping by size and position."""
+    found: set[tuple[int, int]] = set()
+
+    def flush():
+        x, y = zip(*found) if found else ((), ())
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
     for b in batches:
-        found: set[tuple[int, int]] = set()
         for left, right in zip(b.column("left").to_pylist(), b.column("right").to_pylist()):
-            own = right is None
-            right = left if own else right
-            l, r = ({k: np.array([e[k] for e in x]) for k in ("star", "pos", "lo", "hi")} for x in (left, right))
+            l, r = ({k: np.array([e[k] for e in x]) for k in ("star", "pos", "lo", "hi")} for x in (left, right or left))
             ok = (WHOLE * r["hi"][None, :] >= PART * l["lo"][:, None]) & (WHOLE * l["hi"][:, None] >= PART * r["lo"][None, :])
             need = PART * (l["lo"][:, None] + r["lo"][None, :])  # (PART + WHOLE) times the least overlap
             ok &= (PART + WHOLE) * np.minimum((l["hi"] - l["pos"])[:, None], (r["hi"] - r["pos"])[None, :]) >= need
-            ok &= l["star"][:, None] < r["star"][None, :] if own else l["star"][:, None] != r["star"][None, :]
+            ok &= l["star"][:, None] < r["star"][None, :] if right is None else l["star"][:, None] != r["star"][None, :]
             i, j = np.nonzero(ok)
             x, y = l["star"][i], r["star"][j]
             found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-        x, y = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+            if len(found) > 200_000:
+                yield flush()
+    yield flush()
 
 
 def candidates(members: DataFrame) -> DataFrame:
     """a < b: stars of which some members' prefixes share a shingle."""
     entry = members.select("star", "n", F.posexplode(F.arrays_zip("prefix", "level")).alias("pos", "e"))
     split = F.when(F.col("e.level") > 7, F.pow(F.lit(2.0), F.col("e.level") - 7)).otherwise(1).cast("int")  # LIST = 2 ** 7
-    entry = entry.select(F.col("e.prefix").alias("shingle"), split.alias("split"), "star", "n", "pos")
-    per_star = entry.groupBy("shingle", "split", "star").agg(F.min("pos").alias("pos"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    block = F.when(F.col("split") > 1, F.floor(F.log("lo") / float(np.log(WHOLE / PART))) * 100_000 + F.pmod(F.xxhash64("star"), "split")).otherwise(0)
-    lists = per_star.groupBy("shingle", "split", block.cast("long").alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "lo", "hi", "star"))).alias("list"))
-    lists = lists.where("split > 1 OR size(list) > 1")
-    within = lists.where("size(list) > 1").select(F.col("list").alias("left"), F.lit(None).cast(lists.schema["list"].dataType).alias("right"))
-    long = lists.where("split > 1").select("shingle", "block", "list", F.array_min("list.lo").alias("lo"), F.array_max("list.hi").alias("hi"),
-                                           F.array_max(F.transform("list", lambda e: e["hi"] - e["pos"])).alias("rest"))
-    long = written(long, "long-lists")
+    entry = entry.select(F.col("e.prefix").alias("shingle"), split.alias("split"), "star", F.col("n").alias("lo"), F.col("n").alias("hi"), "pos")
+    item = F.array_sort(F.collect_list(F.struct("pos", "lo", "hi", "star"))).alias("list")
+    short = entry.where("split = 1").groupBy("shingle").agg(item).where("size(list) > 1")
+    per_star = entry.where("split > 1").groupBy("shingle", "split", "star").agg(F.min("pos").alias("pos"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    block = F.floor(F.log("lo") / float(np.log(WHOLE / PART))) * 100_000 + F.pmod(F.xxhash64("star"), "split")
+    lists = per_star.groupBy("shingle", block.cast("long").alias("block")).agg(item)
+    long = written(lists.select("shingle", "block", "list", F.array_min("list.lo").alias("lo"), F.array_max("list.hi").alias("hi"),
+                                F.array_max(F.transform("list", lambda e: e["hi"] - e["pos"])).alias("rest")), "long-lists")
+    within = short.select("list").union(long.where("size(list) > 1").select("list")).select(
+        F.col("list").alias("left"), F.lit(None).cast(short.schema["list"].dataType).alias("right"))
     l, r = (long.toDF("shingle", *(f"{s}_{c}" for c in ("block", "list", "lo", "hi", "rest"))) for s in "lr")
     across = l.join(r, "shingle").where(
         f"l_block < r_block AND {WHOLE} * r_hi >= {PART} * l_lo AND {WHOLE} * l_hi >= {PART} * r_lo "
         f"AND {PART + WHOLE} * least(l_rest, r_rest) >= {PART} * (l_lo + r_lo)").select(
         F.col("l_list").alias("left"), F.col("r_list").alias("right"))
-    records_per_batch(members, 1000)
     return within.union(across).mapInArrow(_pair_up, "a long, b long").distinct()
 
 
 def member_pairs(open_: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of members of the stars (a, b, far) that the triangle inequality leaves open."""
+    """Pairs of members (a, b) of the stars of ``open_`` (a, b, inter) that the centres' overlap leaves open."""
     def side(s: str, t: str) -> DataFrame:
-        m = members.select(F.col("star").alias(s), F.col("sid").alias(f"{t}_sid"), F.col("far").alias(f"{t}_far"), F.col("n").alias(f"{t}_n"),
+        m = members.select(F.col("star").alias(s), F.col("sid").alias(f"{t}_sid"), F.col("extra").alias(f"{t}_extra"), F.col("n").alias(f"{t}_n"),
                            F.posexplode("prefix").alias(f"{t}_pos", "shingle"))
         return open_.join(m, s)
-    x, y = side("a", "x"), side("b", "y").drop("far")
+    x, y = side("a", "x"), side("b", "y").drop("inter")
     return x.join(y, ["a", "b", "shingle"]).where(
-        f"far - x_far - y_far <= {LIMIT} + 1e-9 AND {WHOLE} * x_n >= {PART} * y_n AND {WHOLE} * y_n >= {PART} * x_n AND (x_far > 0 OR y_far > 0) "
-        f"AND {PART + WHOLE} * least(x_n - x_pos, y_n - y_pos) >= {PART} * (x_n + y_n)").select(
+        f"{PART + WHOLE} * least(inter + x_extra + y_extra, x_n - x_pos, y_n - y_pos) >= {PART} * (x_n + y_n) "
+        f"AND {WHOLE} * x_n >= {PART} * y_n AND {WHOLE} * y_n >= {PART} * x_n AND (a <> x_sid OR b <> y_sid)").select(
         F.col("x_sid").alias("a"), F.col("y_sid").alias("b")).distinct()
 
 
@@ -256,12 +267,12 @@ def link(docs: DataFrame) -> DataFrame:
     nodes = sketch.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("id"), F.min(F.struct("n", "bands", "prefix", "level")).alias("s"))
     nodes = written(nodes.select("sid", "id", "s.*"), "nodes")
     star, links = stars(nodes, docs)
-    members = nodes.join(star, "sid")
+    members = nodes.drop("n").join(star, "sid")
     pairs = candidates(members.select("star", "n", "prefix", "level"))
-    seen = written(compare(pairs, docs, nodes).withColumns({"linked": F.expr(LINKED), "far": F.expr(DISTANCE)}), "centre-pairs")
-    reach = star.groupBy("star").agg(F.max("far").alias("reach"))
-    open_ = seen.where("NOT linked").join(reach.toDF("a", "ra"), "a").join(reach.toDF("b", "rb"), "b").where(
-        f"ra + rb > 0 AND far - ra - rb <= {LIMIT} + 1e-9").select("a", "b", "far")
+    seen = written(compare(pairs, docs, nodes).withColumn("linked", F.expr(LINKED)), "centre-pairs")
+    reach = star.groupBy("star").agg(F.max("extra").alias("e"), F.min("n").alias("n"))
+    open_ = seen.where("NOT linked").join(reach.toDF("a", "ea", "na"), "a").join(reach.toDF("b", "eb", "nb"), "b").where(
+        f"ea + eb > 0 AND {PART + WHOLE} * (inter + ea + eb) >= {PART} * (na + nb)").select("a", "b", "inter")
     open_ = written(open_, "open-pairs")
     more = compare(member_pairs(open_, members), docs, nodes).where(LINKED).select("a", "b")
     links = links.union(seen.where("linked").select("a", "b")).union(more)
