@@ -74,12 +74,12 @@ def fill_with_daily_median(
 ) -> DataFrame:
     """Fill NULLs with the exact median of the same day.
 
-    A day may hold any number of rows: the medians come from bracketed counting, not from
-    a window over the day. One row per calendar day is left, which is broadcast.
+    A day may hold any number of rows: only the value range that holds the median is sorted.
+    One row per day is left; the planner chooses how to join it.
     """
     columns = columns or numeric_columns(df)
     medians = quantiles_wide(df, columns, [0.5], [day])
-    joined = df.join(F.broadcast(medians), day, "left")
+    joined = df.join(medians, day, "left")
     filled = {c: F.coalesce(F.col(c), F.col(f"{c}_q0")) for c in columns}
     return joined.withColumns(filled).select(*df.columns)
 
@@ -90,14 +90,26 @@ def clean_weather(
 ) -> DataFrame:
     """Markers to NULL, sparse columns out, daily medians in, duplicates and bad points out.
 
-    ``keys`` are identifier columns that must not be filled.
+    A day is the unit, as one raw file holds one day: a column missing in more than ``threshold``
+    percent of a day's rows is NULL for that whole day and not filled. Columns that no day keeps
+    are dropped. Rows without a day count as one day more, without a median. ``keys`` are
+    identifier columns that are neither emptied nor filled.
     """
     df = sentinels_to_null(df, sentinels)
-    share = missing_by_column(df)
-    df = df.drop(*[c for c in df.columns if share[c] > threshold])
-    gaps = [c for c in numeric_columns(df) if c not in keys and share[c] > 0.0]
+    columns = [c for c in df.columns if c not in (day, *keys)]
+    shares = df.groupBy(F.col(day).alias("_day")).agg(*[_null_share(c).alias(f"_s_{c}") for c in columns])
+    # The driver sees one row: it decides the schema from here on.
+    span = shares.agg(*[f(f"_s_{c}").alias(f"{e}_{c}") for c in columns for e, f in (("lo", F.min), ("hi", F.max))]).first()
+    dropped = [c for c in columns if (span[f"lo_{c}"] or 0.0) > threshold]
+    emptied = [c for c in columns if c not in dropped and (span[f"hi_{c}"] or 0.0) > threshold]
+    gaps = [c for c in numeric_columns(df) if c in columns and c not in dropped and (span[f"hi_{c}"] or 0.0) > 0.0]
+    df = df.drop(*dropped)
     if gaps:
         df = fill_with_daily_median(df, gaps, day)
+    if emptied:
+        joined = df.join(shares, df[day].eqNullSafe(shares["_day"]), "left")
+        kept = {c: F.when(F.col(f"_s_{c}") <= threshold, F.col(c)) for c in emptied}
+        df = joined.withColumns(kept).select(*df.columns)
     df = drop_duplicate_rows(df)
     return in_coordinate_range(df) if {"latitude", "longitude"} <= set(df.columns) else df
 
@@ -105,8 +117,8 @@ def clean_weather(
 def one_row_per_day(df: DataFrame, location=("longitude", "latitude"), day: str = "date") -> DataFrame:
     """One row per location and day (the smallest by value), reduced before the shuffle.
 
-    This bounds every (location, 7-day bin) group of the feature operators by 7 rows,
-    whatever the skew of the raw feed.
+    It drops the other rows, so no flow calls it: it is the caller's choice where a feed
+    holds several readings of a location and day.
     """
     keys = [*location, day]
     rest = [c for c in df.columns if c not in keys]

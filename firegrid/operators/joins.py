@@ -6,7 +6,7 @@ Weather: ``latitude``, ``longitude``, ``date`` and measures, one row per locatio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firegrid.operators.cleaning import bounding_box
@@ -31,11 +31,6 @@ def _in_month_box(weather: DataFrame, fires: DataFrame, buffer: float) -> DataFr
     )
 
 
-def _weather_columns(weather: DataFrame, measures: list[str]) -> list[Column]:
-    return [F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"),
-            F.col("date").alias("p_date"), *[F.col(c).alias(f"weather_{c}") for c in measures]]
-
-
 def _measures(weather: DataFrame) -> list[str]:
     return [c for c in weather.columns if c not in ("latitude", "longitude", "date", *MONTH)]
 
@@ -54,7 +49,11 @@ def nearest_station(
     near = nearest_point(f, stations, MONTH)
     measures = _measures(weather)
     located = f.join(near, [*MONTH, "latitude", "longitude"], "left" if keep_misses else "inner")
-    rows = weather.select(*_weather_columns(weather, measures))
+    # of several rows of a station and day the least one counts, so a fire is never doubled
+    least = weather.groupBy("latitude", "longitude", "date").agg(F.min(F.struct(F.lit(0).alias("_any"), *measures)).alias("_w"))
+    rows = least.select(
+        F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"), F.col("date").alias("p_date"),
+        *[F.col(f"_w.{c}").alias(f"weather_{c}") for c in measures])
     same_day = (F.col("f.p_lat") == F.col("w.p_lat")) & (F.col("f.p_lon") == F.col("w.p_lon")) & (
         F.col("f.acq_date") == F.col("w.p_date"))
     joined = located.alias("f").join(rows.alias("w"), same_day, "left" if keep_misses else "inner")

@@ -43,20 +43,25 @@ def with_bucket(df: DataFrame, value: str, steps: int = STEPS) -> DataFrame:
     return bisect(df.withColumn("_bounds", sketch), value, steps)
 
 
+def _grouped(rows: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Add ``_by``, a struct of the group's columns: it is never NULL, so joins keep NULL groups."""
+    return (rows.withColumn("_by", F.struct(*by)), ["_by"]) if by else (rows, [])
+
+
 def running_total(
     df: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False
 ) -> DataFrame:
     """Add ``cum_<name>``: the sum of each column up to and including the row's value.
 
-    ``df`` must hold one row per (by, value); ``by`` columns must not be NULL.
+    ``df`` must hold one row per (by, value); NULL in ``by`` is a group like any other.
     """
-    rows = with_bucket(df, value)
+    rows, group = _grouped(with_bucket(df, value), by)
     if descending:
         rows = rows.withColumn("_bucket", -F.col("_bucket"))
-    keys = [*by, "_bucket"]
+    keys = [*group, "_bucket"]
     totals = rows.groupBy(*keys).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     earlier = (
-        Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
         *keys, *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums]
@@ -98,11 +103,11 @@ def hash_rank(
     ``below`` only rows ranked under that bound are kept, and buckets past it are
     dropped before the sort. ``size`` also adds the row count of the group.
     """
-    rows = df.withColumn("_hash", seeded_hash(key, seed))
+    rows, group = _grouped(df.withColumn("_hash", seeded_hash(key, seed)), by)
     rows = rows.withColumn("_prefix", F.substring("_hash", 1, digits))
-    keys = [*by, "_prefix"]
+    keys = [*group, "_prefix"]
     # One row per group and prefix; Spark chooses the join side from its measured size.
-    offsets = _prefix_offsets(rows, by, size)
+    offsets = _prefix_offsets(rows, group, size)
     if below is not None:
         offsets = offsets.where(F.col("_before") < below)
     placed = rows.join(offsets, keys)
@@ -111,4 +116,4 @@ def hash_rank(
         out, (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
     if below is not None:
         ranked = ranked.where(F.col(out) < below)
-    return ranked.drop("_hash", "_prefix", "_before")
+    return ranked.drop("_hash", "_prefix", "_before", "_by")

@@ -1,10 +1,9 @@
-"""Exact interpolated quantiles for groups of any size.
+"""Exact interpolated quantiles for groups of any size, by one path at every size.
 
-Values are first counted per (group, value), map-side. A group with few distinct values is
-then ranked by one window. A group with more than ``ONE_TASK`` distinct values is cut into
-256 ranges of equal count by a mergeable sketch; the range totals tell which range holds a
-wanted rank, and only that range is ranked, each in its own task. Both ways are exact: the
-sketch only balances the ranges. Without large groups the second way is pruned at run time.
+Values are first counted per (group, value), map-side. A mergeable sketch cuts each group into
+256 ranges of about equal count; the range totals tell which range holds a wanted rank, and
+only that range is ranked, each in its own task. The sketch only balances the ranges: the
+result is exact for any bounds.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 
 from firegrid.operators.ordering import bisect, cut_points
 
-ONE_TASK = 1_000_000
 STEPS = 8
 
 
@@ -41,15 +39,22 @@ def _pick(ranked: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     return picked.select(*keys, "n", *exact)
 
 
-def _by_window(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return _pick(counts.withColumns({"n": F.sum("c").over(group), "end": F.sum("c").over(upto)}), keys, probs)
-
+def exact_quantiles(
+    df: DataFrame, values: list[str], probs: list[float], by: list[str] | None = None,
+    steps: int = STEPS,
+) -> DataFrame:
+    """One row per (by, variable): ``n`` and ``q0 .. qk``, linear interpolation.
 
-def _by_ranges(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx("x", cut_points(STEPS), F.lit(10000)).alias("_bounds"))
-    ranged = bisect(counts.join(F.broadcast(bounds), keys), "x", STEPS)  # one row per calendar group
+    Groups may be of any number and size; NULL in ``by`` is a group like any other.
+    """
+    by = list(by or [])
+    keys = ["_by", "variable"] if by else ["variable"]
+    rows = to_long(df, by, values)
+    if by:  # a struct of the keys is never NULL, so no join loses a group
+        rows = rows.select(F.struct(*by).alias("_by"), "variable", "x")
+    counts = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx("x", cut_points(steps), F.lit(10000)).alias("_bounds"))
+    ranged = bisect(counts.join(bounds, keys), "x", steps)
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*keys, "_bucket").agg(F.sum("c").alias("t")).withColumns({
@@ -60,30 +65,14 @@ def _by_ranges(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFr
         wanted = wanted | ((F.col("before") <= F.ceil(pos)) & (F.floor(pos) < F.col("before") + F.col("t")))
     kept = ranged.join(totals.where(wanted), [*keys, "_bucket"])
     inside = Window.partitionBy(*keys, "_bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return _pick(kept.withColumn("end", F.col("before") + F.sum("c").over(inside)), keys, probs)
-
-
-def exact_quantiles(
-    df: DataFrame, values: list[str], probs: list[float], by: list[str] | None = None,
-    one_task: int = ONE_TASK,
-) -> DataFrame:
-    """One row per (by, variable): ``n`` and ``q0 .. qk``, linear interpolation.
-
-    ``by`` must be a calendar key (day, week, bin) or empty, so that the number of groups is
-    bounded; the number of rows in a group is not.
-    """
-    keys = [*(by or []), "variable"]
-    counts = to_long(df, list(by or []), values).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
-    large = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > one_task)
-    large = F.broadcast(large.select(*keys))  # a subset of the calendar groups
-    return _by_window(counts.join(large, keys, "left_anti"), keys, probs).unionByName(
-        _by_ranges(counts.join(large, keys, "left_semi"), keys, probs))
+    out = _pick(kept.withColumn("end", F.col("before") + F.sum("c").over(inside)), keys, probs)
+    return out.select(*[F.col(f"_by.{b}").alias(b) for b in by], *[c for c in out.columns if c != "_by"])
 
 
 def quantiles_wide(
     df: DataFrame, values: list[str], probs: list[float], by: list[str] | None = None,
 ) -> DataFrame:
-    """One row per ``by`` with ``<value>_q0 ..``: a bounded table, one row per calendar group."""
+    """One row per ``by`` with ``<value>_q0 ..``."""
     by = list(by or [])
     q = exact_quantiles(df, values, probs, by)
     cols = [

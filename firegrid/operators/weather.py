@@ -1,8 +1,8 @@
 """Weather features per location and 7-day bin.
 
-Input: one row per (longitude, latitude, date), see ``cleaning.one_row_per_day``; a bin of
-a location then has at most ``chunk_days`` rows. All windows share one partitioning, so
-the whole feature set costs one shuffle; per-bin statistics come back as one row per bin.
+Input: one row per (longitude, latitude, date); a bin of a location then has at most
+``chunk_days`` rows. All windows share one partitioning and so one shuffle of the rows; the
+per-bin statistics read the input again and come back as one row per bin.
 """
 
 from __future__ import annotations
@@ -242,7 +242,7 @@ def robust_scale(
     q = quantiles_wide(df if base is None else base, columns, [0.25, 0.5, 0.75], list(by))
     names = [f"{c}_q{k}" for c in columns for k in range(3)]
     if by:
-        joined = df.join(F.broadcast(q.withColumn("_q", F.struct(*names)).drop(*names)), list(by), "left")
+        joined = df.join(q.withColumn("_q", F.struct(*names)).drop(*names), list(by), "left")
     else:
         joined = df.withColumn("_q", q.select(F.struct(*names)).scalar())
     scaled = {}

@@ -76,10 +76,18 @@ def _(t):
     return c.fill_with_daily_median(marked, ["ppt", "vbdmax"])
 
 
-@query("clean_weather", RAW.replace(" humidity:r", ""),
-       f"SELECT DISTINCT * FROM ({FILLED}) f WHERE latitude BETWEEN -90e0 AND 90e0 AND longitude BETWEEN -180e0 AND 180e0")
+# A column missing in more than half of a day's rows is empty that day, else filled by the day's median.
+CLEANED = "SELECT row_key, date, latitude, longitude, tmax, " + ", ".join(
+    f"""CASE WHEN avg(CASE WHEN {x} IS NULL THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY date) * 100e0 <= 50e0
+ THEN coalesce({x}, median({x}) OVER (PARTITION BY date)) END AS {x}""" for x in ("ppt", "vbdmax", "humidity")) + f" FROM ({MARKED}) m"
+
+
+@query("clean_weather", RAW,
+       f"SELECT DISTINCT * FROM ({CLEANED}) f WHERE latitude BETWEEN -90e0 AND 90e0 AND longitude BETWEEN -180e0 AND 180e0")
 def _(t):
-    return c.clean_weather(t.raw_weather(), keys=("row_key",))
+    clean = c.clean_weather(t.raw_weather(), keys=("row_key",))
+    # humidity is only there if some day keeps it
+    return clean if "humidity" in clean.columns else clean.withColumn("humidity", F.lit(None).cast("double"))
 
 
 @query("confidence_filter", FIRE, "SELECT * FROM fire_v WHERE confidence IN ('n','h')")

@@ -45,10 +45,16 @@ def build_weather(
     daily: DataFrame, master_path: str, features_path: str, opts: weather.Features = weather.Features(),
     size_km: float = 1,
 ) -> DataFrame:
-    """Clean the daily rows, store the master, store and return the features."""
-    clean = cleaning.one_row_per_day(cleaning.clean_weather(daily))
-    files.write_weather_master(clean, master_path, size_km)
+    """Clean the daily rows, store the master, store and return the features.
+
+    Distinct rows of one location and day are an error: their order inside the day windows
+    would be open. The caller decides how to reduce them (``cleaning.one_row_per_day`` is one way).
+    """
+    files.write_weather_master(cleaning.clean_weather(daily), master_path, size_km)
     master = daily.sparkSession.read.parquet(master_path)
+    repeated = master.groupBy("longitude", "latitude", "date").count().where("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError("several rows for one location and day: reduce them before building features")
     features = weather.engineer_features(master, opts)
     features = features.withColumn("year", F.year("date"))
     features.write.mode("overwrite").partitionBy("year", "month").parquet(features_path)

@@ -17,24 +17,36 @@ WEATHER_SCHEMA = "longitude double, latitude double, ppt double, tmax double, vb
 
 
 def read_fires(spark: SparkSession, path, schema: str = FIRE_SCHEMA) -> DataFrame:
-    """Detections from CSV with header; column order in the file must follow the schema."""
-    return spark.read.schema(schema).csv(path, header=True, dateFormat="yyyy-MM-dd")
+    """Detections from CSV with header; a header that differs from the schema is an error."""
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, dateFormat="yyyy-MM-dd")
+
+
+def _has_csv(spark: SparkSession, folder: str) -> bool:
+    """Whether any CSV file lies below ``folder``; only file names are listed."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+    return not listed.load(folder).select("path").isEmpty()
 
 
 def read_weather_days(
-    spark: SparkSession, folder: str, years: list[int] | None = None, schema: str = WEATHER_SCHEMA
+    spark: SparkSession, folder: str, years: list[int] | None = None, schema: str = WEATHER_SCHEMA,
+    dates: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Daily files ``<folder>/<year>/<yyyymmdd>.csv``; the date is read off the file name.
 
-    Files with another name are skipped; a year without any CSV file is an error.
+    Files with another name are skipped; each year without any CSV file is an error, and so is
+    a header that differs from the schema. ``dates`` (first, last) keeps a range of days.
     """
     paths = [f"{folder}/{y}" for y in years] if years else [folder]
-    reader = spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv")
-    rows = reader.option("recursiveFileLookup", True).csv(paths)
-    if not rows.inputFiles():
-        raise FileNotFoundError(f"no CSV files below {paths}")
+    empty = [p for p in paths if not _has_csv(spark, p)]
+    if empty:
+        raise FileNotFoundError(f"no CSV files below {empty}")
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    rows = reader.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(paths)
     dated = rows.withColumn("date", date_from_name(F.col("_metadata.file_name")))
-    return dated.where(F.col("date").isNotNull())
+    dated = dated.where(F.col("date").isNotNull())
+    if dates is not None:
+        dated = dated.where(F.col("date").between(F.lit(dates[0]).cast("date"), F.lit(dates[1]).cast("date")))
+    return dated
 
 
 def read_boundary(spark: SparkSession, path: str, where: dict[str, str] | None = None) -> DataFrame:

@@ -59,6 +59,16 @@ def test_clean_weather_and_one_row_per_day(spark):
     assert {r.tmax for r in one.collect()} == {19.0, 21.0}
 
 
+def test_sparse_columns_are_judged_by_day(spark):
+    e = dt.date(2023, 1, 2)
+    rows = [(D, i, 9.0 if i < 2 else -9999.0) for i in range(10)] + [(e, i, float(i) if i else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "date date, n int, ppt double")
+    got = c.clean_weather(df, keys=("n",)).collect()
+    assert len(got) == 50
+    assert {r.ppt for r in got if r.date == D} == {None}  # 80 % missing: empty that day, not filled
+    assert [r.ppt for r in got if r.date == e and r.n == 0] == [20.0]
+
+
 def test_categories_columns_and_label(spark):
     df = spark.createDataFrame([("n", 0, 1.0), ("h", 2, 0.0), ("l", 0, None), ("?", 0, 2.0)], "confidence string, type int, frp double")
     assert c.confidence_filter(df).count() == 2 and c.confidence_filter(df, False).count() == 3

@@ -32,6 +32,13 @@ def test_same_day_then_fallback(fires, weather):
     # fire 3: only a February row is near in time, and the 60 degree row is outside the box; fire 5: nothing in time
 
 
+def test_repeated_station_days_do_not_double_fires(fires, weather):
+    twice = weather.unionByName(weather.withColumn("tmax", F.col("tmax") + 1))
+    got = {r.fire_key: r.weather_tmax for r in j.merge_fire_weather(fires, twice).collect()}
+    assert got == {1: 20.0, 2: 21.0}
+    assert j.nearest_station(fires, twice).count() == j.nearest_station(fires, weather).count()
+
+
 def test_cross_month(fires, weather):
     both = j.nearest_station(fires, weather, keep_misses=True)
     misses = both.where(F.col("weather_date").isNull()).select(*fires.columns)

@@ -21,10 +21,10 @@ def skewed(n=4000, seed=1):
     return pd.DataFrame({"day": g, "x": x})
 
 
-@pytest.mark.parametrize("one_task", [10, 1_000_000])
-def test_quantiles_equal_numpy_both_ways(spark, one_task):
+@pytest.mark.parametrize("steps", [1, 8])
+def test_quantiles_equal_numpy_for_any_ranges(spark, steps):
     pdf = skewed()
-    got = exact_quantiles(spark.createDataFrame(pdf), ["x"], PROBS, ["day"], one_task).toPandas()
+    got = exact_quantiles(spark.createDataFrame(pdf), ["x"], PROBS, ["day"], steps).toPandas()
     for row in got.itertuples():
         want = np.quantile(pdf[pdf.day == row.day].x, PROBS)
         assert np.allclose([row.q0, row.q1, row.q2, row.q3], want, atol=1e-12), row.day
@@ -36,7 +36,7 @@ def test_quantiles_equal_numpy_both_ways(spark, one_task):
 @given(st.lists(st.one_of(st.none(), st.integers(-5, 5), st.floats(-1e6, 1e6)), min_size=1, max_size=40))
 def test_quantiles_small_lists(spark, values):
     rows = [(None if v is None else float(v),) for v in values]
-    got = exact_quantiles(spark.createDataFrame(rows, "x double"), ["x"], PROBS, one_task=3).collect()
+    got = exact_quantiles(spark.createDataFrame(rows, "x double"), ["x"], PROBS, steps=2).collect()
     known = [v for (v,) in rows if v is not None]
     if not known:
         assert got == []
@@ -67,3 +67,13 @@ def test_hash_rank_is_a_permutation_and_repeats(spark):
     b = o.hash_rank(df.repartition(13), ["g"], "id", 7, below=F.lit(50)).toPandas()
     want = a[a.hash_rank < 50]
     assert set(zip(b.id, b.hash_rank)) == set(zip(want.id, want.hash_rank))
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.range(30).select("id", F.when(F.col("id") % 3 == 0, "a").alias("g"), F.col("id").cast("double").alias("x"))
+    ranked = o.hash_rank(df, ["g"], "id", 7, size="n").toPandas()
+    assert len(ranked) == 30 and sorted(ranked[ranked.g.isna()].hash_rank) == list(range(20))
+    total = o.running_total(df, ["g"], "x", ["id"]).toPandas()
+    assert len(total) == 30 and total[total.g.isna()].cum_id.max() == sum(i for i in range(30) if i % 3)
+    q = {r.g: r.q0 for r in exact_quantiles(df, ["x"], [0.5], ["g"]).collect()}
+    assert q == {"a": 13.5, None: 15.0}  # 14 and 16 are the middle of the others

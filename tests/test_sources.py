@@ -26,6 +26,14 @@ def test_daily_files(spark, tmp_path):
     (tmp_path / "2014").mkdir()
     with pytest.raises(FileNotFoundError):
         s.read_weather_days(spark, str(tmp_path), [2014])
+    with pytest.raises(FileNotFoundError, match="2014"):
+        s.read_weather_days(spark, str(tmp_path), [2013, 2014])
+    one = s.read_weather_days(spark, str(tmp_path), [2013], dates=("2013-01-06", "2013-01-31")).collect()
+    assert [r.tmax for r in one] == [22.0]
+    (tmp_path / "2015").mkdir()
+    (tmp_path / "2015" / "20150101.csv").write_text("latitude,longitude,ppt,tmax,vbdmax\n35.0,-120.0,0.5,20.0,1.0\n")
+    with pytest.raises(Exception, match="header"):
+        s.read_weather_days(spark, str(tmp_path), [2015]).collect()
 
 
 def test_fire_csv(spark, tmp_path):
