@@ -14,8 +14,9 @@ Fitted on at most ``SAMPLE`` vectors (smallest hashes of their ids); every vecto
 Defined cases: vectors that are null, zero, hold null or non-finite components, have a null id or another length than
 the most common one (ties: the shorter) take no part. Repeated ids count once (the smallest vector). Equal scores go to the smaller id. With one valid vector there are no rows.
 
-Scale: base vectors are dealt into blocks of about ``BLOCK`` rows by hash of their id, the stated queries into blocks as well; a task holds one pair of blocks. Equal or hot vectors so
-spread over all blocks, and a query takes at most k rows from each.
+Scale: base vectors are dealt into ``LEAST`` blocks by hash of their id, into more once a block would pass ``BLOCK`` rows, the stated queries into
+blocks as well; a task holds one pair of blocks. Equal or hot vectors so spread over all blocks. A query takes at most k rows from each block,
+so blocks are as large as memory allows: fewer rows leave them, and fewer indexes are probed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from firegrid.session import written
 
 BITS, PARTS, SAMPLE, COVER, K = 64, 8, 10_000, 0.975, 20
-BLOCK, QUERIES = 2048, 4096
+BLOCK, LEAST, QUERIES = 1 << 16, 8, 4096
 WIDTH = BITS // PARTS
 #: All substring values by their number of one bits: flipping by these visits neighbours in order of distance.
 _FLIPS = np.array(sorted(range(1 << WIDTH), key=lambda x: (x.bit_count(), x)), dtype=np.int64)
@@ -150,7 +151,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     codes = Codes(np.stack(picked["v"].to_numpy()).astype(float), float(best["norm"]), k)
     shared = spark.sparkContext.broadcast(codes)
     queries = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-best["n"] // BLOCK))
+    blocks = max(LEAST, -(-best["n"] // BLOCK))
     lots = max(1, -(-queries.count() // QUERIES))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     base = rows.select(deal(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), "vec_id", "v")
