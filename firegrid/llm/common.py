@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
+SEPARATORS = " \t\n\x0b\f\r"
 
 
 def ascii_lower(c) -> Column:
@@ -33,6 +35,24 @@ def n_words(text) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def word_array(text: Column) -> Column:
+    """The words of a whole text in order."""
+    return F.array_remove(F.split(F.translate(text, SEPARATORS, " " * len(SEPARATORS)), " "), "")
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once a row."""
+    return F.transform(F.array(value), then)[0]
+
+
+def slices(batches, column: str, limit: int):
+    """Record batches whose texts in ``column`` add up to about ``limit`` bytes at most, one row at least."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+        for a, z in groups([n + 16 for n in sizes], limit):
+            yield b.slice(a, z - a)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firegrid.llm import ann, chat, decontam, jaccard, langid, maxent, mixing, quality, tokens, urls
+from firegrid.llm import alignment, ann, chat, decontam, jaccard, langid, maxent, mixing, periodic, quality, rules, rules_sql, tokens, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.collapse_digest(_read(spark, sf_dir, "documents"))
+
+
+def op13_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -61,8 +73,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_snapshots, op2_language_id, op3_nearest_neighbours, op4_maxent_scores, op5_url_filter, op6_source_mixture,
-        op7_jaccard_components, op8_token_ids, op9_quality_rules, op10_template_decontamination, pipeline)}
+        op7_jaccard_components, op8_token_ids, op9_quality_rules, op10_template_decontamination,
+        op11_token_op12_periodic_runs, op13_adaptive_rules, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_snapshots": chat.SQL, "op7_jaccard_components": jaccard.SQL}
+    return {"op1_chat_snapshots": chat.SQL, "op7_jaccard_components": jaccard.SQL, "op13_adaptive_rules": rules_sql.SQL}
