@@ -74,7 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_snapshots, op2_language_id, op3_nearest_neighbours, op4_maxent_scores, op5_url_filter, op6_source_mixture,
         op7_jaccard_components, op8_token_ids, op9_quality_rules, op10_template_decontamination,
-        op11_token_op12_periodic_runs, op13_adaptive_rules, pipeline)}
+        op11_token_alignment, op12_periodic_runs, op13_adaptive_rules, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
