@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from firegrid.llm.common import slices
 from firegrid.session import written
 
-BLOCK, CACHE = 16 << 20, 300_000
+BLOCK, CACHE = 12 << 20, 150_000
 BLANK = "▁"
 _FIELDS = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
                      ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("a", pa.int32()), ("b", pa.int32()),
@@ -284,7 +284,8 @@ def align(docs: DataFrame, tokenizers: tuple[str, str] | None = None) -> DataFra
     """Token, group and link counts and the corpus scores of each row (doc_id, text)."""
     index = build_index(docs, tokenizers)
     lists = index.where("a IS NOT NULL").select("block", "size", "a", "b", "docs", "planes")
-    counted = lists.join(pair_counts(index).select("a", "b", "n_links", "best"), ["a", "b"])
+    # the counts grow with the corpus, so both sides are shuffled at every size
+    counted = lists.join(pair_counts(index).select("a", "b", "n_links", "best").hint("merge"), ["a", "b"])
     scores = counted.groupBy("block").applyInArrow(_scores, "block long, place int, count_sum long, n_best long")
     own = index.where("a IS NULL").select("block", "place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
