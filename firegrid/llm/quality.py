@@ -23,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import fold
+from firegrid.llm.common import fold, let
 from firegrid.session import written
 
 TREES, DEPTH, BINS, PENALTY, SEED, THRESHOLD = 12, 3, 32, 0.002, 7, 0.3
@@ -48,10 +48,11 @@ def statistics(text: str = "text") -> dict[str, Column]:
 Rule = tuple[tuple[str, str, float], ...]
 
 
-def holds(rule: Rule) -> Column:
+def holds(rule: Rule, of=F.col) -> Column:
+    """Whether all tests of the rule hold; ``of`` gives the column of a statistic."""
     out = None
     for name, op, at in rule:
-        c = F.col(name) <= at if op == "<=" else F.col(name) > at
+        c = of(name) <= at if op == "<=" else of(name) > at
         out = c if out is None else out & c
     return out
 
@@ -61,11 +62,11 @@ class Rules:
     bias: float
     weights: dict[Rule, float]
 
-    def score(self) -> Column:
+    def score(self, of=F.col) -> Column:
         """P(label 1) from the statistics columns."""
         total = F.lit(self.bias)
         for rule, w in self.weights.items():
-            total = total + F.when(holds(rule), w).otherwise(0.0)
+            total = total + F.when(holds(rule, of), w).otherwise(0.0)
         return 1.0 / (1.0 + F.exp(-total))
 
 
@@ -126,5 +127,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with the same columns."""
-    return score(docs, learned_fold(docs, labels)).where(F.col("score") >= THRESHOLD).select("row.*")
+    """The rows of ``docs`` that the classifier accepts, with the same columns.
+
+    The statistics are bound once: a filter on a projected score would be pushed below it and repeat them for every rule test.
+    """
+    rules = learned_fold(docs, labels)
+    used = {n for r in rules.weights for n, _, _ in r}
+    stats = F.struct(*(c.cast("double").alias(k) for k, c in statistics().items() if k in used), F.lit(0).alias("_none"))
+    return docs.where(let(stats, lambda s: rules.score(lambda name: s[name])) >= THRESHOLD)
