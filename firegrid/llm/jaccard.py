@@ -168,6 +168,7 @@ def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("sid", "id")
     named = pairs.select("a", "b").join(ids.toDF("a", "ida"), "a").join(ids.toDF("b", "idb"), "b")
     text = docs.select("doc_id", "text")
+    named = written(named, "pairs")  # its size is known before texts move: few pairs are broadcast
     both = named.join(text.toDF("ida", "ta"), "ida").join(text.toDF("idb", "tb"), "idb").select("a", "b", "ta", "tb")
     return both.mapInArrow(_overlaps, "a long, b long, inter long, whole long").groupBy("a", "b").agg(
         F.max("inter").alias("inter"), F.max("whole").alias("whole"))
@@ -209,11 +210,11 @@ def _pair_up(batches):
 
     for b in batches:
         for left, right in zip(b.column("left").to_pylist(), b.column("right").to_pylist()):
-            l, r = ({k: np.array([e[k] for e in x]) for k in ("star", "pos", "lo", "hi")} for x in (left, right or left))
+            l, r = ({k: np.array([e[k] for e in x]) for k in ("star", "label", "pos", "lo", "hi")} for x in (left, right or left))
             ok = (WHOLE * r["hi"][None, :] >= PART * l["lo"][:, None]) & (WHOLE * l["hi"][:, None] >= PART * r["lo"][None, :])
             need = PART * (l["lo"][:, None] + r["lo"][None, :])  # (PART + WHOLE) times the least overlap
             ok &= (PART + WHOLE) * np.minimum((l["hi"] - l["pos"])[:, None], (r["hi"] - r["pos"])[None, :]) >= need
-            ok &= l["star"][:, None] < r["star"][None, :] if right is None else l["star"][:, None] != r["star"][None, :]
+            ok &= l["label"][:, None] < r["label"][None, :] if right is None else l["label"][:, None] != r["label"][None, :]
             i, j = np.nonzero(ok)
             x, y = l["star"][i], r["star"][j]
             found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
@@ -223,22 +224,23 @@ def _pair_up(batches):
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """a < b: stars of which some members' prefixes share a shingle."""
-    entry = members.select("star", "n", F.posexplode(F.arrays_zip("prefix", "level")).alias("pos", "e"))
+    """a < b: stars of different labels of which some members' prefixes share a shingle."""
+    entry = members.select("star", "label", "n", F.posexplode(F.arrays_zip("prefix", "level")).alias("pos", "e"))
     split = F.when(F.col("e.level") > 7, F.pow(F.lit(2.0), F.col("e.level") - 7)).otherwise(1).cast("int")  # LIST = 2 ** 7
-    entry = entry.select(F.col("e.prefix").alias("shingle"), split.alias("split"), "star", F.col("n").alias("lo"), F.col("n").alias("hi"), "pos")
-    item = F.array_sort(F.collect_list(F.struct("pos", "lo", "hi", "star"))).alias("list")
-    short = entry.where("split = 1").groupBy("shingle").agg(item).where("size(list) > 1")
-    per_star = entry.where("split > 1").groupBy("shingle", "split", "star").agg(F.min("pos").alias("pos"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    entry = entry.select(F.col("e.prefix").alias("shingle"), split.alias("split"), "star", "label", F.col("n").alias("lo"), F.col("n").alias("hi"), "pos")
+    item = F.array_sort(F.collect_list(F.struct("pos", "lo", "hi", "star", "label"))).alias("list")
+    several = "array_min(list.label) < array_max(list.label)"
+    short = entry.where("split = 1").groupBy("shingle").agg(item).where(several)
+    per_star = entry.where("split > 1").groupBy("shingle", "split", "star", "label").agg(F.min("pos").alias("pos"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     block = F.floor(F.log("lo") / float(np.log(WHOLE / PART))) * 100_000 + F.pmod(F.xxhash64("star"), "split")
     lists = per_star.groupBy("shingle", block.cast("long").alias("block")).agg(item)
     long = written(lists.select("shingle", "block", "list", F.array_min("list.lo").alias("lo"), F.array_max("list.hi").alias("hi"),
                                 F.array_max(F.transform("list", lambda e: e["hi"] - e["pos"])).alias("rest")), "long-lists")
-    within = short.select("list").union(long.where("size(list) > 1").select("list")).select(
+    within = short.select("list").union(long.where(several).select("list")).select(
         F.col("list").alias("left"), F.lit(None).cast(short.schema["list"].dataType).alias("right"))
     l, r = (long.toDF("shingle", *(f"{s}_{c}" for c in ("block", "list", "lo", "hi", "rest"))) for s in "lr")
     across = l.join(r, "shingle").where(
-        f"l_block < r_block AND {WHOLE} * r_hi >= {PART} * l_lo AND {WHOLE} * l_hi >= {PART} * r_lo "
+        f"l_block < r_block AND (array_min(l_list.label) < array_max(r_list.label) OR array_min(r_list.label) < array_max(l_list.label)) AND {WHOLE} * r_hi >= {PART} * l_lo AND {WHOLE} * l_hi >= {PART} * r_lo "
         f"AND {PART + WHOLE} * least(l_rest, r_rest) >= {PART} * (l_lo + r_lo)").select(
         F.col("l_list").alias("left"), F.col("r_list").alias("right"))
     return within.union(across).mapInArrow(_pair_up, "a long, b long").distinct()
@@ -267,8 +269,10 @@ def link(docs: DataFrame) -> DataFrame:
     nodes = sketch.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("id"), F.min(F.struct("n", "bands", "prefix", "level")).alias("s"))
     nodes = written(nodes.select("sid", "id", "s.*"), "nodes")
     star, links = stars(nodes, docs)
-    members = nodes.drop("n").join(star, "sid")
-    pairs = candidates(members.select("star", "n", "prefix", "level"))
+    early = written(components(links), "early-labels")  # stars that are linked already need no comparison
+    labelled = star.join(early.toDF("star", "label"), "star", "left").withColumn("label", F.coalesce("label", "star"))
+    members = nodes.drop("n").join(labelled, "sid")
+    pairs = candidates(members.select("star", "label", "n", "prefix", "level"))
     seen = written(compare(pairs, docs, nodes).withColumn("linked", F.expr(LINKED)), "centre-pairs")
     reach = star.groupBy("star").agg(F.max("extra").alias("e"), F.min("n").alias("n"))
     open_ = seen.where("NOT linked").join(reach.toDF("a", "ea", "na"), "a").join(reach.toDF("b", "eb", "nb"), "b").where(
@@ -290,13 +294,19 @@ def link(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the first (least id) of their component, with the same columns.
 
-    Rows without an id stay, and so does every row without words; of repeated rows of one id one stays.
+    Rows without an id stay, and so does every row without words; of repeated rows of one id and text one stays. Rows of one id with
+    different texts are documents of their own: the row, not the id, is linked.
     """
     known = docs.where("doc_id IS NOT NULL")
-    parts = link(known)
-    keep = parts.where("n_shingles = 0 OR doc_id = component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.max("n_shingles").alias("shingles"))
-    rows = known.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id")).join(keep, F.col("id") == F.col("keep_id"))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("row.text", "row.source"))
+    key = F.xxhash64("doc_id", "text")
+    parts = link(known.select(key.alias("doc_id"), "text"))
+    ids = known.select(key.alias("key"), F.col("doc_id").cast("long").alias("id")).distinct()
+    named = parts.select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct().join(ids, "key")
+    keep = named.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"), F.max("n_shingles").alias("shingles"))
+    keep = keep.select(F.col("first.key").alias("keep_key"), F.col("first.id").alias("keep_id"), "shingles")
+    rows = known.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.col("doc_id").cast("long").alias("id"))
+    rows = rows.join(keep, (F.col("key") == F.col("keep_key")) & (F.col("id") == F.col("keep_id")))
+    nth = F.row_number().over(Window.partitionBy("key", "id").orderBy("row.source"))
     return rows.withColumn("nth", nth).where("nth = 1 OR shingles = 0").select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
