@@ -19,17 +19,19 @@ from __future__ import annotations
 import os
 import zlib
 from functools import cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import records_per_batch
+from firegrid.llm.common import slices
 from firegrid.session import scratch_path
 
-END, SEGMENT, STEP, CACHE = 1, 1 << 20, 64, 400_000
+END, SEGMENT, STEP, CACHE, BATCH = 1, 1 << 20, 64, 300_000, 8 << 20
 SCHEMA = "shard int, seq int, n_docs long, n_ids long, width int, low_bits int, doc_ids array<long>, ids binary, low binary, high binary, samples binary"
 
 
@@ -86,53 +88,127 @@ class Segment:
 
 @cache
 def _loaded(path: str):
+    """The tokenizer, whether its ids fit two bytes, and the two generations of its cache."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    return tok, tok.get_vocab_size() <= 1 << 16, {}
+    return tok, tok.get_vocab_size() <= 1 << 16, [{}, {}]
 
 
-def _blanks_part(tok) -> bool:
-    """Whether pieces between blanks are tokenised alone: the pre-tokenizer must drop white space."""
-    probe = ["a", "it's", "12", "é", "x-y.", "ab"]
-    return tok.encode("  ".join(probe) + "\n", add_special_tokens=False).ids == [
-        i for p in probe for i in tok.encode(p, add_special_tokens=False).ids]
+@cache
+def _border(path: str) -> tuple[str, int] | None:
+    """A special token, with its id, that parts pieces inside one string; None unless pieces between blanks are tokenised alone.
+
+    The pre-tokenizer must drop white space; the probe compares whole texts, single pieces and pieces joined by the special token.
+    """
+    tok = _loaded(path)[0]
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    probe = ["a", "it's", "12", "é", "x-y.", "ab", "İ.", "İ", "A\u030a!", "ΑΣ", "ſt|"]
+    alone = [i for p in probe for i in ids(p)]
+    for i, t in tok.get_added_tokens_decoder().items():
+        if t.special and ids("  ".join(probe) + "\n") == alone and [x for x in ids(t.content.join(probe)) if x != i] == alone:
+            return t.content, i
+    return None
+
+
+@cache
+def _word_ends(path: str) -> np.ndarray:
+    """Whether an id ends a word."""
+    tok = _loaded(path)[0]
+    return np.array([(tok.id_to_token(i) or "").endswith("</w>") for i in range(tok.get_vocab_size())])
+
+
+def _cut(ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
+    data, w = ids.tobytes(), ids.itemsize
+    return [data[a * w:z * w] for a, z in zip(starts, ends)]
+
+
+def _encode_pieces(pieces: list[str], path: str) -> list[bytes]:
+    """Ids of pieces as bytes, many in one string.
+
+    Words of letters are parted by blanks and give one word-end id each; others by a special token that none of them holds.
+    """
+    tok, narrow, _ = _loaded(path)
+    (mark, mark_id), kind, out = _border(path), "<u2" if narrow else "<u4", {}
+    encode = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, kind)
+    letters = [p for p in pieces if p.isalpha()]
+    others = [p for p in pieces if not p.isalpha()]
+    for i in range(0, len(letters), 256):
+        lot = letters[i:i + 256]
+        ids = encode(" ".join(lot))
+        ends = (np.flatnonzero(_word_ends(path)[ids]) + 1).tolist()
+        if len(ends) == len(lot):
+            out.update(zip(lot, _cut(ids, [0, *ends[:-1]], ends)))
+        else:  # marks among the letters, once normalised
+            others += lot
+    for i in range(0, len(others), 256):
+        lot = others[i:i + 256]
+        ids = encode(mark.join(lot))
+        cuts = np.flatnonzero(ids == mark_id).tolist()
+        if len(cuts) == len(lot) - 1:
+            out.update(zip(lot, _cut(ids, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)])))
+        else:  # a piece holds the special token itself
+            out.update((p, encode(p).tobytes()) for p in lot)
+    return [out[p] for p in pieces]
+
+
+def _two(piece: str) -> tuple[str, ...]:
+    """A piece, or a word of letters and the full stop, comma, exclamation mark or bar after it, which is a token of its own."""
+    low = piece.lower() if piece.isascii() else piece
+    word = low[:-1]
+    if word and low[-1] in ".,!|" and word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha()):
+        return word, low[-1]
+    return (low,)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole texts as bytes, without the end id. Ids of a piece between blanks are looked up, then computed.
 
-    A final full stop, comma, exclamation mark or bar is a token of its own after letters, so both parts are looked up alone.
+    The cache has two generations: what the young one lacks is taken over from the old one, so frequent pieces are never computed again.
     """
-    tok, narrow, known = _loaded(path)
-    kind = "<u2" if narrow else "<u4"
-    if not _blanks_part(tok):
+    tok, narrow, _ = _loaded(path)
+    if not _border(path):
+        kind = "<u2" if narrow else "<u4"
         return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
-    split = []
+    kind = np.dtype("<u2" if narrow else "<u4")
+    plain = []
     for t in texts:
         for c in "\n\t\r\x0b\x0c":  # other white space is left to the tokenizer
             t = t.replace(c, " ")
-        split.append(t.split(" "))
+        plain.append(t)
+    lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+    coded = lists.flatten().dictionary_encode()
+    data, starts, sizes = _looked_up(coded.dictionary.to_pylist(), path, kind)
+    piece = coded.indices.to_numpy()
+    n = sizes[piece]
+    ends = np.cumsum(n)
+    ids = data[np.repeat(starts[piece] - (ends - n), n) + np.arange(n.sum())].tobytes()
+    cuts = (np.concatenate([[0], ends])[lists.offsets.to_numpy()] * kind.itemsize).tolist()
+    return [ids[a:z] for a, z in zip(cuts, cuts[1:])]
+
+
+def _looked_up(pieces: list[str], path: str, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all pieces in one array, and where those of each piece start and how many they are."""
+    generations = _loaded(path)[2]
+    if len(generations[0]) > CACHE:
+        generations[:] = [{}, generations[0]]
+    young, old = generations
+    blobs = [young.get(p) for p in pieces]
     missing: dict[str, tuple] = {}
-    for pieces in split:
-        for p in pieces:
-            if p not in known and p not in missing:
-                low = p.lower() if p.isascii() else p
-                missing[p] = (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".,!|" and low[:-1].isalpha() else (low,)
-    parts = dict.fromkeys(x for v in missing.values() for x in v)
-    todo = [x for x in parts if x not in known]
-    for i in range(0, len(todo), 4096):
-        lot = todo[i:i + 4096]
-        for x, e in zip(lot, tok.encode_batch_fast(lot, add_special_tokens=False)):
-            parts[x] = np.array(e.ids, kind).tobytes()
+    for p in (p for p, v in zip(pieces, blobs) if v is None):
+        if p in old:
+            young[p] = old[p]
+        else:
+            missing[p] = _two(p)
+    parts = {x: young.get(x) or old.get(x) for v in missing.values() for x in v}
+    todo = [x for x, v in parts.items() if v is None]
+    parts.update(zip(todo, _encode_pieces(todo, path)))
+    young.update(parts)
     for p, v in missing.items():
-        missing[p] = b"".join(known[x] if parts[x] is None else parts[x] for x in v)
-    known.update(missing)
-    known.update((x, v) for x, v in parts.items() if v is not None)
-    out = [b"".join([known[p] for p in pieces]) for pieces in split]
-    if len(known) > CACHE:
-        known.clear()
-    return out
+        young[p] = b"".join([parts[x] for x in v])
+    blobs = [young[p] if v is None else v for p, v in zip(pieces, blobs)]
+    sizes = np.array([len(v) for v in blobs], np.int64) // kind.itemsize
+    return np.frombuffer(b"".join(blobs), kind), np.cumsum(sizes) - sizes, sizes
 
 
 def _segments(path: str, end: int):
@@ -152,7 +228,7 @@ def _segments(path: str, end: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)],
                                               names=["shard", "seq", "n_docs", "n_ids", "width", "low_bits", "doc_ids", "ids", "low", "high", "samples"])
 
-        for b in batches:
+        for b in slices(batches, "text", BATCH):
             texts = [t or "" for t in b.column("text").to_pylist()]
             for doc, blob in zip(b.column("doc_id").to_pylist(), encode_texts(texts, path)):
                 n = len(blob) // width + 1
@@ -168,7 +244,6 @@ def _segments(path: str, end: int):
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> str:
     """Write the ids of ``docs`` (doc_id, text) as segments below ``path``."""
-    records_per_batch(docs, 500)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(
         _segments(tokenizer or default_tokenizer(), end), SCHEMA).write.mode("error").parquet(path)
@@ -181,7 +256,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in (row for i in range(b.num_rows) for row in b.slice(i, 1).to_pylist()):
                 ids = np.frombuffer(r["ids"], "<u2" if r["width"] == 2 else "<u4")
                 ends = Segment(r["n_docs"], r["low_bits"], r["low"], r["high"], r["samples"]).ends()
                 starts = np.concatenate([[0], ends[:-1]])
@@ -192,7 +267,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                      pa.array(starts.astype(np.int64)), pa.array((ends - starts).astype(np.int64)), pa.array(crc, pa.int64())],
                     names=["shard", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    records_per_batch(segments, 4)
     rows = segments.mapInArrow(decode, "shard int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = shards.select("shard", F.coalesce(F.sum("n").over(
