@@ -179,7 +179,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("id").alias("item_id"), F.col("pos").alias("at"), "hash", F.col("slots").alias("own"), "total")
     bits = np.zeros(BITS, bool)
     bits[np.array([r[0] for r in keys.select(F.col("hash").bitwiseAND(BITS - 1).cast("int")).distinct().collect()], int)] = True  # at most BITS numbers
-    longest = own.select(F.max(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] or 0
+    # an upper bound of the mapper's words: it cuts at every white space and at \x1c-\x1f
+    longest = own.select(F.max(F.size(F.split("text", r"(?U)[\s\x1c-\x1f]+")))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _rows(spark.sparkContext.broadcast(bits), int(longest)), SCHEMA).drop("total")
     pairs = rows.join(keys, "hash").where("(pos < 0) = (at < 0)").groupBy(F.col("id").alias("doc_id"), "item_id").agg(
