@@ -14,6 +14,7 @@ from firegrid.functions.calendar import week_text
 from firegrid.functions.spatial import with_cell
 from firegrid.operators import cleaning, evaluation, joins, modelling, profiling, sampling, weather
 from firegrid.operators.polygons import lattice_cells, within_polygon
+from firegrid.session import written
 from firegrid.sources import files
 
 
@@ -70,7 +71,7 @@ def train_and_evaluate(
     parts = sampling.stratified_split(table.select(key, label, *present), key, label, seed=seed)
     fitted = parts.where(F.col("part") != "test").withColumn("_val", F.col("part") == "val")
     model = modelling.train(fitted, present, label, params, validation="_val")
-    scored = modelling.score(parts, model)
+    scored = written(modelling.score(parts, model), "scored")
     metrics = evaluation.overfit_gaps(scored, split="part", label=label, score="fire_probability")
     return model, scored, metrics
 

@@ -43,8 +43,46 @@ def test_importances(spark, rows, model):
 
 
 def test_cross_validation(rows):
-    got = m.cv_auc(rows, ["a", "b"], "id", folds=2, params=SMALL).collect()
-    assert sorted(r.fold for r in got) == [0, 1] and all(r.roc_auc > 0.9 for r in got)
+    cv = m.cv_auc(rows, ["a", "b"], "id", folds=3, params=SMALL)
+    got = cv.collect()
+    assert sorted(r.fold for r in got) == [0, 1, 2] and all(r.roc_auc > 0.9 and abs(r.rows - 200) <= 1 and 1 <= r.n_trees <= 5 for r in got)
+    assert sum(r.positives for r in got) == rows.where("label = 1").count()
+    mean = m.cv_summary(cv).first()
+    areas = [r.roc_auc for r in got]
+    assert mean["mean"] == pytest.approx(np.mean(areas)) and mean["std"] == pytest.approx(np.std(areas)) and mean.folds == 3
+
+
+def test_best_prefix():
+    assert m.best_prefix([3.0, 2.0, 2.5, 2.0, 2.0], 3) == (2, True)
+    assert m.best_prefix([3.0, 2.0, 2.5, 1.0, 2.0], 3) == (4, False)
+    assert m.best_prefix([3.0, 2.0, 4.0, 4.0, 4.0, 0.0], 3) == (2, True)  # a later gain comes too late
+    assert m.best_prefix([1.0], 3) == (1, False)
+
+
+def test_early_stopping_doubles_until_the_loss_stops(spark, rows):
+    """The cut model equals a plain fit of as many trees, and its loss is the least of a long fit up to the stop."""
+    noisy = rows.withColumn("label", F.when(F.crc32(F.col("id").cast("string")) % 4 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    data, _ = m.vectors(noisy, ["a", "b"])
+    data = data.select("label", "class_weight", "features", (F.col("id") % 3 == 0).alias("v")).cache()
+    learn, hold = data.where("NOT v"), data.where("v")
+    params = {**SMALL, "n_estimators": 24}
+    model = m.fit_early(learn, hold, params, rounds=5, first=6)
+    losses = m.learner(params, "label", "class_weight").fit(learn).evaluateEachIteration(hold)
+    n, _ = m.best_prefix(losses, 5)
+    assert model.getNumTrees == n and model.evaluateEachIteration(hold) == losses[:n]
+    plain = m.learner({**params, "n_estimators": n}, "label", "class_weight").fit(learn)
+    same = model.transform(hold).select("probability").exceptAll(plain.transform(hold).select("probability"))
+    assert same.count() == 0
+
+
+def test_permutation_is_a_bijection(rows):
+    for n in (1, 2, 7, 600, 30030):
+        for r in range(10):
+            a, b = m._step(n, r)
+            assert len({(a * i + b) % n for i in range(n)}) == n
+    flip = m.permutation_importance(rows, lambda d: d.withColumn("fire_predicted", (F.col("a") > 0.5).cast("int")), "id", features=["a", "b"])
+    got = {r.feature: r for r in flip.collect()}
+    assert got["b"].importance == 0.0 == got["b"]["std"] and got["a"].importance > 0.3
 
 
 def test_class_weight(rows):
