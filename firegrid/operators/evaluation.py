@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firegrid.operators.ordering import running_total
+from firegrid.session import written
 
 
 def _ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -18,7 +19,9 @@ def _ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 
 def score_counts(df: DataFrame, by: list[str] | None = None, label="label", score="score") -> DataFrame:
-    """(by, threshold, pos, cnt): positives and rows at each distinct score."""
+    """(by, threshold, pos, cnt): positives and rows at each distinct score; such a table itself is only added up."""
+    if {"threshold", "pos", "cnt"} <= set(df.columns):
+        return df.groupBy(*(by or []), "threshold").agg(F.sum("pos").alias("pos"), F.sum("cnt").alias("cnt"))
     return df.groupBy(*(by or []), F.col(score).cast("double").alias("threshold")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt"))
 
@@ -121,26 +124,54 @@ def class_metrics(counts: DataFrame) -> DataFrame:
         "f1": _ratio(2 * tp, 2 * tp + fp + fn)})
 
 
+def counted_confusion(counts: DataFrame, cut: Column, by: list[str]) -> DataFrame:
+    """tn, fp, fn, tp per group from a table of ``score_counts``."""
+    hit, neg = F.col("threshold") >= cut, F.col("cnt") - F.col("pos")
+    total = lambda on, c: F.coalesce(F.sum(F.when(on, c)), F.lit(0))
+    return counts.groupBy(*by).agg(total(~hit, neg).alias("tn"), total(hit, neg).alias("fp"),
+                                   total(~hit, F.col("pos")).alias("fn"), total(hit, F.col("pos")).alias("tp"))
+
+
+POLICIES = ("shared", "standalone", "given", "best")
+
+
 def split_metrics(
-    df: DataFrame, policy: str = "shared", split: str = "split", label="label", score="score",
+    df: DataFrame, policy: str = "shared", split: str = "split", label="label", score="score", threshold: float | None = None,
+) -> DataFrame:
+    """All metrics per split, with the nested ``confusion_matrix`` [[tn, fp], [fn, tp]].
+
+    ``shared``: the F1-best test threshold everywhere; ``standalone``: that threshold for the test split, 0.5 for the
+    others; ``given``: ``threshold`` everywhere; ``best``: each split's own F1-best threshold.
+    Scored rows are read once, into counts per (split, score) that are stored; everything follows from that table.
+    Rows without label or score take no part.
+    """
+    if policy not in POLICIES or (policy == "given") != (threshold is not None):
+        raise ValueError(f"unknown policy {policy!r}, or a threshold without the policy 'given'")
+    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    counts = written(score_counts(known, [split], label, score), "score-counts")
+    if policy == "given":
+        rows = counts.withColumn("_cut", F.lit(float(threshold)))
+    elif policy == "best":
+        own = best_threshold(counts, [split]).select(F.col(split).alias("_split"), F.col("threshold").alias("_cut"))
+        rows = counts.join(own, F.col(split).eqNullSafe(F.col("_split"))).drop("_split")
+    else:
+        best = best_threshold(counts.where(F.col(split) == "test")).select("threshold").scalar()
+        rows = counts.withColumn("_cut", F.coalesce(best, F.lit(0.5)))
+        if policy == "standalone":
+            rows = rows.withColumn("_cut", F.when(F.col(split) == "test", F.col("_cut")).otherwise(0.5))
+    matrix = counted_confusion(rows, F.col("_cut"), [split, "_cut"])
+    nested = matrix.withColumn("confusion_matrix", F.array(F.array("tn", "fp"), F.array("fn", "tp")))
+    areas = curve_areas(counts, [split]).withColumnRenamed(split, "_split")
+    return class_metrics(nested).withColumnRenamed("_cut", "threshold_used").join(
+        areas, F.col(split).eqNullSafe(F.col("_split"))).drop("_split")
+
+
+def overfit_gaps(
+    df: DataFrame, policy: str = "shared", split: str = "split", label="label", score="score", threshold: float | None = None,
 ) -> DataFrame:
-    """All metrics per split. ``shared``: the F1-best test threshold everywhere;
-    ``standalone``: that threshold for the test split, 0.5 for the others."""
-    if policy not in ("shared", "standalone"):
-        raise ValueError(f"unknown policy {policy!r}")
-    best = best_threshold(df.where(F.col(split) == "test"), None, label, score).select("threshold").scalar()
-    rows = df.withColumn("_cut", best)
-    if policy == "standalone":
-        rows = rows.withColumn("_cut", F.when(F.col(split) == "test", F.col("_cut")).otherwise(0.5))
-    counts = confusion(rows, F.col("_cut"), [split, "_cut"], label, score)
-    return class_metrics(counts).withColumnRenamed("_cut", "threshold_used").join(
-        curve_areas(df, [split], label, score), split)
-
-
-def overfit_gaps(df: DataFrame, policy: str = "shared", split: str = "split", label="label", score="score") -> DataFrame:
-    """One row: test, train and validation metrics and their differences."""
+    """One row: test, train and validation metrics, the nested matrix of the test split, and the differences."""
     names = ["accuracy", "precision", "recall", "f1", "roc_auc", "average_precision"]
-    m = split_metrics(df, policy, split, label, score)
+    m = split_metrics(df, policy, split, label, score, threshold)
 
     def of(part: str, c: str) -> Column:
         return F.max(F.when(F.col(split) == part, F.col(c)))
@@ -148,7 +179,7 @@ def overfit_gaps(df: DataFrame, policy: str = "shared", split: str = "split", la
     wide = m.agg(
         *[of(p, c).alias(f"{pre}{c}") for p, pre in (("test", ""), ("train", "train_"), ("val", "val_"))
           for c in names],
-        of("test", "threshold_used").alias("threshold_used"))
+        of("test", "threshold_used").alias("threshold_used"), of("test", "confusion_matrix").alias("confusion_matrix"))
     return wide.withColumns({
         "train_test_accuracy_gap": F.col("train_accuracy") - F.col("accuracy"),
         "train_test_roc_auc_gap": F.col("train_roc_auc") - F.col("roc_auc"),

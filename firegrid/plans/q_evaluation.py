@@ -100,6 +100,40 @@ def _(t):
     return e.overfit_gaps(t.scores())
 
 
+def _gap_sql(cut: str) -> str:
+    """The one-row metrics for a threshold that may depend on the split."""
+    return f"""
+SELECT w.*, {GAPS} FROM (SELECT {PIVOT}, max(cut) FILTER (WHERE split='test') AS threshold_used,
+  max(CAST(tn AS VARCHAR) || ',' || CAST(fp AS VARCHAR) || ',' || CAST(fn AS VARCHAR) || ',' || CAST(tp AS VARCHAR)) FILTER (WHERE split='test') AS matrix
+ FROM (SELECT m.*, {METRICS} FROM (SELECT split, cut, count(*) FILTER (WHERE label=0 AND score<cut) AS tn, count(*) FILTER (WHERE label=0 AND score>=cut) AS fp,
+   count(*) FILTER (WHERE label=1 AND score<cut) AS fn, count(*) FILTER (WHERE label=1 AND score>=cut) AS tp
+   FROM (SELECT s.*, {cut} AS cut FROM score_v s) c GROUP BY split, cut) m) x JOIN ({areas('split')}) a USING (split)) w"""
+
+
+GAP_COLUMNS = (" ".join(f"{pre}{c}:r" for pre in ("", "train_", "val_") for c in M) + " threshold_used:r matrix"
+               " train_test_accuracy_gap:r train_test_roc_auc_gap:r train_val_accuracy_gap:r val_test_accuracy_gap:r")
+
+
+def _flat(metrics):
+    return metrics.withColumn("matrix", F.concat_ws(",", F.flatten("confusion_matrix")))
+
+
+@query("metrics_given", GAP_COLUMNS, _gap_sql("0.4e0"))
+def _(t):
+    return _flat(e.overfit_gaps(t.scores(), "given", threshold=0.4))
+
+
+@query("metrics_standalone", GAP_COLUMNS, _gap_sql(f"CASE WHEN s.split='test' THEN (SELECT threshold FROM ({BEST_TEST}) b) ELSE 0.5e0 END"))
+def _(t):
+    return _flat(e.overfit_gaps(t.scores(), "standalone"))
+
+
+@query("metrics_best", GAP_COLUMNS, _gap_sql("CASE s.split " + " ".join(
+    f"WHEN '{x}' THEN (SELECT threshold FROM ({best(f'WHERE split = {chr(39)}{x}{chr(39)}')}) b_{x})" for x in ("train", "val", "test")) + " END"))
+def _(t):
+    return _flat(e.overfit_gaps(t.scores(), "best"))
+
+
 def _line(name: str, hit: str, wrong: str, missed: str) -> str:
     return (f"SELECT '{name}' AS class, {hit}/CAST({hit}+{wrong} AS DOUBLE) AS precision, {hit}/CAST({hit}+{missed} AS DOUBLE) AS recall, "
             f"2e0*{hit}/(2*{hit}+{wrong}+{missed}) AS f1, {hit}+{missed} AS support FROM m")
