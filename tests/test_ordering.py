@@ -77,3 +77,31 @@ def test_null_groups_are_kept(spark):
     assert len(total) == 30 and total[total.g.isna()].cum_id.max() == sum(i for i in range(30) if i % 3)
     q = {r.g: r.q0 for r in exact_quantiles(df, ["x"], [0.5], ["g"]).collect()}
     assert q == {"a": 13.5, None: 15.0}  # 14 and 16 are the middle of the others
+
+
+def test_missed_brackets_are_widened(spark, monkeypatch):
+    """A sketch that is far off gives the same quantiles, after wider rounds."""
+    from firegrid.operators import quantiles as q
+    right, rounds = q._brackets, []
+
+    def off(own, n_values, probs, margin):
+        rounds.append(margin)
+        if margin < 0.1:
+            return right(own, n_values, [0.9] * len(probs), margin)
+        return right(own, n_values, probs, margin)
+
+    monkeypatch.setattr(q, "_brackets", off)
+    values = np.random.default_rng(3).normal(size=4000)
+    df = spark.createDataFrame([(float(v), i % 2) for i, v in enumerate(values)], "x double, g int")
+    got = {r.g: r for r in q.exact_quantiles(df, ["x"], [0.25, 0.9], ["g"]).collect()}
+    assert rounds == [0.001, 0.01, 0.1]
+    for g in (0, 1):
+        assert np.allclose([got[g].q0, got[g].q1], np.quantile(values[g::2], [0.25, 0.9]))
+
+
+def test_few_values_are_shuffled(spark):
+    """The second pass hands on far fewer records than rows times columns."""
+    from firegrid.operators import quantiles as q
+    own = spark.range(0, 200_000, 1, 8).select(F.struct(F.lit(0)).alias("_by"), *[F.rand(i).alias(f"_v{i}") for i in range(3)])
+    b = q._brackets(own, 3, [0.5], q.MARGIN)
+    assert q._counted(own, b, 3, [0.5], False).count() < 0.01 * 3 * 200_000
