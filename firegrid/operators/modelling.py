@@ -179,8 +179,9 @@ def cv_auc(
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:
-    """One row: mean and population deviation of the folds' areas."""
-    return folds.agg(F.avg("roc_auc").alias("mean"), F.stddev_pop("roc_auc").alias("std"), F.count(F.lit(1)).alias("folds"))
+    """One row: mean and population deviation of the folds' areas, and the rows and positives of all folds."""
+    return folds.agg(F.avg("roc_auc").alias("mean"), F.stddev_pop("roc_auc").alias("std"), F.count(F.lit(1)).alias("folds"),
+                     F.sum("rows").alias("rows"), F.sum("positives").alias("positives"))
 
 
 def feature_importance(model: PipelineModel, spark, top: int = 20) -> DataFrame:

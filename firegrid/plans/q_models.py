@@ -47,10 +47,9 @@ UNION ALL SELECT 'std', count(*), sum(label), TRUE FROM score_v""")
 def _(t):
     folds = written(m.cv_auc(training_rows(t), FEATURES, "row_key", params=FAST), "fold-areas")
     own = folds.select(F.col("fold").cast("string").alias("fold"), F.col("rows").alias("n_rows"), "positives", (F.col("roc_auc") > 0.5).alias("above_chance"))
-    both = m.cv_summary(folds).crossJoin(folds.agg(F.sum("rows").alias("n_rows"), F.sum("positives").alias("positives")))  # two single rows
-    return own.union(both.select(F.inline(F.array(
-        F.struct(F.lit("mean").alias("fold"), "n_rows", "positives", (F.col("mean") > 0.5).alias("above_chance")),
-        F.struct(F.lit("std").alias("fold"), "n_rows", "positives", F.col("std").between(0.0, 0.2).alias("above_chance"))))))
+    return own.union(m.cv_summary(folds).select(F.inline(F.array(
+        F.struct(F.lit("mean").alias("fold"), F.col("rows").alias("n_rows"), "positives", (F.col("mean") > 0.5).alias("above_chance")),
+        F.struct(F.lit("std").alias("fold"), F.col("rows").alias("n_rows"), "positives", F.col("std").between(0.0, 0.2).alias("above_chance"))))))
 
 
 @query("score_batch", "row_key in_range agrees", "SELECT row_key, TRUE AS in_range, TRUE AS agrees FROM score_v")
