@@ -6,33 +6,119 @@ Weather: ``latitude``, ``longitude``, ``date`` and measures, one row per locatio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firegrid.operators.cleaning import bounding_box
 from firegrid.operators.nearest import nearest_point
 from firegrid.session import written
 
-MONTH = ["_year", "_month"]
+POSITION_DAY = ["latitude", "longitude", "acq_date"]
+BEFORE = 16  # bit of the first day of a month; days of the month before take the bits below
 
 
-def _by_month(df: DataFrame, date: str) -> DataFrame:
-    return df.withColumns({"_year": F.year(date), "_month": F.month(date)})
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
 
 
-def _in_month_box(weather: DataFrame, fires: DataFrame, buffer: float) -> DataFrame:
-    """Weather rows of a month inside the buffered box of that month's fires."""
-    boxes = bounding_box(fires, buffer, MONTH)  # one row per calendar month
+def _bits(first: Column, last: Column) -> Column:
+    """Mask of the bits ``first`` to ``last``."""
+    return F.aggregate(F.sequence(first.cast("int"), last.cast("int")), F.lit(0).cast("long"), lambda m, at: m.bitwiseOR(_bit(at)))
+
+
+def station_months(weather: DataFrame, spill: int = 0) -> DataFrame:
+    """(p_lat, p_lon, _month, _days): the days on which a station reports, as bits of one row a month.
+
+    Bit 16 is the first day of ``_month`` (its first date). With ``spill``, at most 16, the last
+    ``spill`` days of the month before and the first of the month after have bits too.
+    """
+    if not 0 <= spill <= BEFORE:
+        raise ValueError(f"at most {BEFORE} days across a month's border, not {spill}")
+    months = [F.trunc(F.date_add("date", k), "month") for k in sorted({-spill, 0, spill})]
     return (
-        weather.join(F.broadcast(boxes), MONTH)
-        .where(F.col("latitude").between(F.col("lat_lo"), F.col("lat_hi"))
-               & F.col("longitude").between(F.col("lon_lo"), F.col("lon_hi")))
+        weather.select(F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"), "date",
+                       F.explode(F.array_distinct(F.array(*months))).alias("_month"))
+        .groupBy("p_lat", "p_lon", "_month")
+        .agg(F.bit_or(_bit(F.datediff("date", "_month") + BEFORE)).alias("_days")))
+
+
+def _in_month_box(stations: DataFrame, fires: DataFrame, buffer: float) -> DataFrame:
+    """Station months inside the buffered box of that month's fires."""
+    dated = fires.withColumn("_month", F.trunc("acq_date", "month"))
+    boxes = bounding_box(dated, buffer, ["_month"])  # one row per calendar month
+    return (
+        stations.join(F.broadcast(boxes), "_month")
+        .where(F.col("p_lat").between(F.col("lat_lo"), F.col("lat_hi"))
+               & F.col("p_lon").between(F.col("lon_lo"), F.col("lon_hi")))
         .drop("lat_lo", "lat_hi", "lon_lo", "lon_hi")
     )
 
 
-def _measures(weather: DataFrame) -> list[str]:
-    return [c for c in weather.columns if c not in ("latitude", "longitude", "date", *MONTH)]
+def _asked(fires: DataFrame) -> DataFrame:
+    """Distinct places and days of the fires, with the month and the day's bit."""
+    return fires.select(*POSITION_DAY).distinct().withColumn("_month", F.trunc("acq_date", "month")).withColumn(
+        "_at", F.datediff("acq_date", "_month") + BEFORE)
+
+
+def _same_day(fires: DataFrame, stations: DataFrame, buffer: float) -> DataFrame:
+    """(place, day, p_lat, p_lon, distance_km, p_date, off): the nearest station of the month.
+
+    Stations are searched by year, with the months they report in as bits. ``p_date`` is NULL
+    where the station has no row that day, which its bits tell before weather is read.
+    """
+    end = F.dayofmonth(F.last_day("_month"))
+    month = _bit(F.month("_month"))
+    boxed = _in_month_box(stations, fires, buffer).where(  # reports of its own days
+        F.col("_days").bitwiseAND(_bits(F.lit(BEFORE), end + BEFORE - 1)) != 0)
+    asked = _asked(fires).withColumns({"_year": F.year("_month"), "_want": month})
+    near = nearest_point(
+        asked, boxed.withColumns({"_year": F.year("_month"), "_has": month}), ["_year"], want="_want", has="_has")
+    found = asked.join(near, ["_year", "latitude", "longitude", "_want"]).join(boxed, ["p_lat", "p_lon", "_month"])
+    hit = F.col("_days").bitwiseAND(_bit(F.col("_at"))) != 0
+    return found.select(
+        *POSITION_DAY, "p_lat", "p_lon", "distance_km", F.when(hit, F.col("acq_date")).alias("p_date"),
+        F.when(hit, F.lit(0)).alias("off"))
+
+
+def _near_in_time(asked_fires: DataFrame, all_fires: DataFrame, stations: DataFrame, days: int, buffer: float) -> DataFrame:
+    """(place, day, p_lat, p_lon, distance_km, p_date, off): the nearest station with a row within ``days``."""
+    last = 2 * BEFORE + 30
+    at = F.col("_at")
+    asked = _asked(asked_fires).withColumn(
+        "_want", _bits(F.greatest(F.lit(0), at - days), F.least(F.lit(last), at + days)))
+    boxed = _in_month_box(stations, all_fires, buffer)
+    near = nearest_point(asked, boxed, ["_month"], want="_want", has="_days")
+    found = asked.join(near, ["_month", "latitude", "longitude", "_want"]).join(boxed, ["p_lat", "p_lon", "_month"])
+    there = F.filter(
+        F.sequence(F.greatest(-at, F.lit(-days)), F.least(F.lit(last) - at, F.lit(days))),
+        lambda k: F.col("_days").bitwiseAND(_bit(F.col("_at") + k)) != 0)
+    least = F.array_min(F.transform(there, lambda k: F.struct(F.abs(k).alias("off"), k.alias("k"))))
+    return found.withColumn("_k", least).select(
+        *POSITION_DAY, "p_lat", "p_lon", "distance_km",
+        F.date_add("acq_date", F.col("_k.k")).alias("p_date"), F.col("_k.off").alias("off"))
+
+
+def _with_weather(fires: DataFrame, chosen: DataFrame, weather: DataFrame, how: str = "inner") -> DataFrame:
+    """Fires with the weather row of the station and day chosen for their place and day.
+
+    Of several rows of a station and day the least one counts, so a fire is never doubled.
+    Only rows that some fire asks for are aggregated.
+    """
+    measures = [c for c in weather.columns if c not in ("latitude", "longitude", "date")]
+    place = ["p_lat", "p_lon", "p_date"]
+    rows = weather.select(
+        F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"), F.col("date").alias("p_date"),
+        F.struct(F.lit(0).alias("_any"), *measures).alias("_w"))
+    least = rows.join(chosen.select(*place), place, "left_semi").groupBy(*place).agg(F.min("_w").alias("_w"))
+    found = chosen.join(least, place).alias("c")
+    same = (F.col("f.latitude") == F.col("c.latitude")) & (F.col("f.longitude") == F.col("c.longitude")) & (
+        F.col("f.acq_date") == F.col("c.acq_date"))
+    return fires.alias("f").join(found, same, how).select(
+        *[F.col(f"f.{c}") for c in fires.columns],
+        F.col("c.p_lat").alias("weather_latitude"), F.col("c.p_lon").alias("weather_longitude"),
+        F.col("c.p_date").alias("weather_date"),
+        *[F.col(f"c._w.{c}").alias(f"weather_{c}") for c in measures],
+        F.col("c.distance_km").alias("distance_km"), F.col("c.off").alias("temporal_offset_days"))
 
 
 def nearest_station(
@@ -43,29 +129,9 @@ def nearest_station(
     Adds ``weather_*``, ``distance_km`` and ``temporal_offset_days`` = 0. A fire whose nearest
     station has no row that day is a miss: dropped, or kept with NULLs.
     """
-    f = _by_month(fires, "acq_date")
-    boxed = _in_month_box(_by_month(weather, "date"), f, buffer)
-    stations = boxed.select(*MONTH, F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
-    near = nearest_point(f, stations, MONTH)
-    measures = _measures(weather)
-    located = f.join(near, [*MONTH, "latitude", "longitude"], "left" if keep_misses else "inner")
-    # of several rows of a station and day the least one counts, so a fire is never doubled
-    least = weather.groupBy("latitude", "longitude", "date").agg(F.min(F.struct(F.lit(0).alias("_any"), *measures)).alias("_w"))
-    rows = least.select(
-        F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"), F.col("date").alias("p_date"),
-        *[F.col(f"_w.{c}").alias(f"weather_{c}") for c in measures])
-    same_day = (F.col("f.p_lat") == F.col("w.p_lat")) & (F.col("f.p_lon") == F.col("w.p_lon")) & (
-        F.col("f.acq_date") == F.col("w.p_date"))
-    joined = located.alias("f").join(rows.alias("w"), same_day, "left" if keep_misses else "inner")
-    hit = F.col("w.p_date").isNotNull()
-    return joined.select(
-        *[F.col(f"f.{c}") for c in fires.columns],
-        F.col("w.p_lat").alias("weather_latitude"), F.col("w.p_lon").alias("weather_longitude"),
-        F.col("w.p_date").alias("weather_date"),
-        *[F.col(f"w.weather_{c}").alias(f"weather_{c}") for c in measures],
-        F.when(hit, F.col("f.distance_km")).alias("distance_km"),
-        F.when(hit, F.lit(0)).alias("temporal_offset_days"),
-    )
+    stations = written(station_months(weather), "station-months")
+    chosen = _same_day(fires, stations, buffer).where(F.col("p_date").isNotNull())
+    return _with_weather(fires, chosen, weather, "left" if keep_misses else "inner")
 
 
 def temporal_fallback(
@@ -74,56 +140,32 @@ def temporal_fallback(
 ) -> DataFrame:
     """Nearest point among the weather rows within ``days`` of the fire.
 
-    Each weather row is repeated for the few fire dates it can serve, which turns the range
-    condition into an equi-join on the day. Of several days at the same point the smallest
-    offset wins, then the earliest date. Fires without any row are dropped.
+    The search sees one row per station and month with its days as bits, never the weather
+    rows. Of several days at the same point the smallest offset wins, then the earliest date.
+    Fires without any row are dropped. ``cross_month`` allows at most 16 days.
     """
-    m = _by_month(misses, "acq_date")
-    offsets = F.array(*[F.lit(k) for k in range(-days, days + 1)])
-    served = (
-        weather.withColumn("_offset", F.explode(offsets))
-        .withColumn("acq_date", F.date_add("date", F.col("_offset")))
-        .join(misses.select("acq_date").distinct(), "acq_date", "left_semi")
-    )
-    if not cross_month:
-        served = served.where(F.trunc("acq_date", "month") == F.trunc("date", "month"))
-    served = _in_month_box(
-        _by_month(served, "acq_date"), _by_month(misses if all_fires is None else all_fires, "acq_date"),
-        buffer)
-    measures = _measures(weather)
-    row = F.struct(F.abs("_offset").alias("off"), F.col("date"), *measures)
-    closest = served.groupBy(
-        "acq_date", F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon")
-    ).agg(F.min(row).alias("_w"))
-    near = nearest_point(m, closest, ["acq_date"])
-    joined = m.join(near, ["acq_date", "latitude", "longitude"]).join(
-        closest, ["acq_date", "p_lat", "p_lon"])
-    return joined.select(
-        *misses.columns,
-        F.col("p_lat").alias("weather_latitude"), F.col("p_lon").alias("weather_longitude"),
-        F.col("_w.date").alias("weather_date"),
-        *[F.col(f"_w.{c}").alias(f"weather_{c}") for c in measures],
-        "distance_km", F.col("_w.off").alias("temporal_offset_days"),
-    )
+    stations = written(station_months(weather, days if cross_month else 0), "station-months")
+    chosen = _near_in_time(misses, misses if all_fires is None else all_fires, stations, days, buffer)
+    return _with_weather(misses, chosen, weather)
 
 
 def merge_fire_weather(
     fires: DataFrame, weather: DataFrame, days: int = 1, buffer: float = 1.0,
-    cross_month: bool = False, overwrite: bool = False, first_pass: DataFrame | None = None,
+    cross_month: bool = False, overwrite: bool = False,
 ) -> DataFrame:
     """Same-day match of the nearest station, else the temporal fallback, else dropped.
 
     ``overwrite=True`` gives the published form, where weather columns replace fire columns
-    of the same name. Hits and misses both come from the first pass, which is therefore stored
-    once; ``first_pass`` may be an already stored ``nearest_station(keep_misses=True)``.
+    of the same name. Station and day are chosen per place and day of the fires, stored once,
+    and joined with the weather rows once, for hits and misses together.
     """
-    both = first_pass
-    if both is None:
-        both = written(nearest_station(fires, weather, buffer, keep_misses=True), "first-pass")
-    hits = both.where(F.col("weather_date").isNotNull())
-    misses = both.where(F.col("weather_date").isNull()).select(*fires.columns)
-    out = hits.unionByName(
-        temporal_fallback(misses, weather, fires, days, buffer, cross_month))
+    stations = written(station_months(weather, days if cross_month else 0), "station-months")
+    first = written(_same_day(fires, stations, buffer), "first-choice")
+    hits = first.where(F.col("p_date").isNotNull())
+    places = fires.select(*POSITION_DAY).distinct()
+    misses = places.join(hits.select(*POSITION_DAY), POSITION_DAY, "left_anti")
+    chosen = written(hits.unionByName(_near_in_time(misses, fires, stations, days, buffer)), "choice")
+    out = _with_weather(fires, chosen, weather)
     if not overwrite:
         return out
     plain = {c[len("weather_"):]: c for c in out.columns if c.startswith("weather_")}

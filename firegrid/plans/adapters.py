@@ -6,7 +6,7 @@ DataFrames. Coordinates follow from keys, so hot customers become hot locations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Own ten-point outline (lon, lat); the last point connects to the first.
@@ -17,15 +17,15 @@ OUTLINE = [
 
 SQL = {
     "weather_v": """
-SELECT l_suppkey%20 AS station, CAST(l_shipdate AS DATE) AS date,
-  32.5e0 + CAST(((l_suppkey%20)*37)%95 AS DOUBLE)/10e0 AS latitude,
-  -124.4e0 + CAST(((l_suppkey%20)*53)%103 AS DOUBLE)/10e0 AS longitude,
+SELECT l_suppkey AS station, CAST(l_shipdate AS DATE) AS date,
+  32.5e0 + CAST((l_suppkey*37)%95 AS DOUBLE)/10e0 + floor(l_suppkey/9785e0)/1000e0 AS latitude,
+  -124.4e0 + CAST((l_suppkey*53)%103 AS DOUBLE)/10e0 AS longitude,
   MAX(l_quantity) AS tmax, ROUND(MIN(l_discount)*100e0,2) AS ppt, ROUND(MAX(l_tax)*50e0,2) AS vbdmax
-FROM lineitem GROUP BY l_suppkey%20, CAST(l_shipdate AS DATE)""",
+FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE)""",
     "raw_weather_v": """
 SELECT l_orderkey AS row_key, CAST(l_shipdate AS DATE) AS date,
-  CASE WHEN l_orderkey%200=0 THEN 91e0 ELSE 32.5e0 + CAST(((l_suppkey%20)*37)%95 AS DOUBLE)/10e0 END AS latitude,
-  -124.4e0 + CAST(((l_suppkey%20)*53)%103 AS DOUBLE)/10e0 AS longitude, l_quantity AS tmax,
+  CASE WHEN l_orderkey%200=0 THEN 91e0 ELSE 32.5e0 + CAST((l_suppkey*37)%95 AS DOUBLE)/10e0 + floor(l_suppkey/9785e0)/1000e0 END AS latitude,
+  -124.4e0 + CAST((l_suppkey*53)%103 AS DOUBLE)/10e0 AS longitude, l_quantity AS tmax,
   CASE WHEN l_partkey%20=0 THEN -9999e0 ELSE ROUND(l_discount*100e0,2) END AS ppt,
   CASE WHEN l_partkey%25=0 THEN -9999e0 ELSE ROUND(l_tax*50e0,2) END AS vbdmax,
   CASE WHEN l_linenumber>2 THEN -9999e0 ELSE 50e0 END AS humidity
@@ -47,6 +47,12 @@ FROM orders""",
 }
 
 
+def _place(station: Column) -> tuple[Column, Column]:
+    """A place of its own for each station: 95 by 103 lattice points, shifted after each 9,785 keys."""
+    lat = F.lit(32.5) + ((station * 37) % 95).cast("double") / 10.0 + F.floor(station / 9785.0) / 1000.0
+    return lat, F.lit(-124.4) + ((station * 53) % 103).cast("double") / 10.0
+
+
 class Tables:
     """The test tables of one folder as DataFrames."""
 
@@ -58,25 +64,21 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def weather(self) -> DataFrame:
-        station = F.col("l_suppkey") % 20
         days = self.table("lineitem").groupBy(
-            station.alias("station"), F.to_date("l_shipdate").alias("date")).agg(
+            F.col("l_suppkey").alias("station"), F.to_date("l_shipdate").alias("date")).agg(
             F.max("l_quantity").alias("tmax"),
             F.round(F.min("l_discount") * 100.0, 2).alias("ppt"),
             F.round(F.max("l_tax") * 50.0, 2).alias("vbdmax"))
+        lat, lon = _place(F.col("station"))
         return days.select(
-            "station", "date",
-            (F.lit(32.5) + ((F.col("station") * 37) % 95).cast("double") / 10.0).alias("latitude"),
-            (F.lit(-124.4) + ((F.col("station") * 53) % 103).cast("double") / 10.0).alias("longitude"),
+            "station", "date", lat.alias("latitude"), lon.alias("longitude"),
             "tmax", "ppt", "vbdmax")
 
     def raw_weather(self) -> DataFrame:
-        station = F.col("l_suppkey") % 20
+        lat, lon = _place(F.col("l_suppkey"))
         return self.table("lineitem").select(
             F.col("l_orderkey").alias("row_key"), F.to_date("l_shipdate").alias("date"),
-            F.when(F.col("l_orderkey") % 200 == 0, 91.0).otherwise(
-                F.lit(32.5) + ((station * 37) % 95).cast("double") / 10.0).alias("latitude"),
-            (F.lit(-124.4) + ((station * 53) % 103).cast("double") / 10.0).alias("longitude"),
+            F.when(F.col("l_orderkey") % 200 == 0, 91.0).otherwise(lat).alias("latitude"), lon.alias("longitude"),
             F.col("l_quantity").alias("tmax"),
             F.when(F.col("l_partkey") % 20 == 0, -9999.0).otherwise(
                 F.round(F.col("l_discount") * 100.0, 2)).alias("ppt"),

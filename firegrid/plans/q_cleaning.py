@@ -130,20 +130,18 @@ def _(t):
 
 @query("bbox_filter", "station date:d latitude:r longitude:r tmax:r", """
 SELECT w.* FROM weather_v w, (SELECT min(latitude) a, max(latitude) b, min(longitude) c, max(longitude) d
- FROM fire_v WHERE confidence='h' AND latitude BETWEEN 34e0 AND 36e0 AND longitude < -119e0) x
-WHERE w.latitude BETWEEN a-1e0 AND b+1e0 AND w.longitude BETWEEN c-1e0 AND d+1e0""")
+ FROM fire_v) x WHERE w.latitude BETWEEN a+0.5e0 AND b-0.5e0 AND w.longitude BETWEEN c+0.5e0 AND d-0.5e0""")
 def _(t):
-    south = t.fires().where("confidence = 'h' AND latitude BETWEEN 34 AND 36 AND longitude < -119")
-    return c.in_box_of(t.weather(), south)
+    return c.in_box_of(t.weather(), t.fires(), buffer=-0.5)
 
 
 @query("semi_or_filter", "station date:d grid_id week", f"""
 WITH w AS (SELECT z.*, {q.week('date')} AS week FROM ({q.cells('SELECT * FROM weather_v', 25)}) z),
- f AS (SELECT z.*, {q.week('acq_date')} AS week FROM ({q.cells("SELECT * FROM fire_v WHERE confidence='h' AND frp>480e0", 25)}) z)
+ f AS (SELECT z.*, {q.week('acq_date')} AS week FROM ({q.cells("SELECT * FROM fire_v", 25)}) z)
 SELECT * FROM w WHERE grid_id IN (SELECT grid_id FROM f) OR week IN (SELECT week FROM f)""")
 def _(t):
     w = with_cell(t.weather(), 25).withColumn("week", week_text("date"))
-    f = with_cell(t.fires().where("confidence = 'h' AND frp > 480"), 25).withColumn("week", week_text("acq_date"))
+    f = with_cell(t.fires(), 25).withColumn("week", week_text("acq_date"))
     return c.keep_known_cell_or_week(w, f)
 
 

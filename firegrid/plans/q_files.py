@@ -49,9 +49,9 @@ def _(t):
 
 @query("date_from_filename", "name date:d", """
 SELECT name, CASE WHEN name LIKE '%.csv' THEN CAST(strptime(substr(name, 1, 8), '%Y%m%d') AS DATE) END AS date
-FROM (SELECT strftime(date, '%Y%m%d') || CASE WHEN station = 0 THEN '.txt' ELSE '.csv' END AS name FROM weather_v) n""")
+FROM (SELECT strftime(date, '%Y%m%d') || CASE WHEN station = 1 THEN '.txt' ELSE '.csv' END AS name FROM weather_v) n""")
 def _(t):
-    ending = F.when(F.col("station") == 0, ".txt").otherwise(".csv")
+    ending = F.when(F.col("station") == 1, ".txt").otherwise(".csv")
     names = t.weather().select(F.concat(F.date_format("date", "yyyyMMdd"), ending).alias("name"))
     return names.withColumn("date", date_from_name("name"))
 

@@ -52,6 +52,34 @@ def _(t):
     return j.temporal_fallback(misses, weather, fires)
 
 
+PUBLISHED = ("fire_key acq_date:d latitude:r longitude:r date:d tmax:r ppt:r vbdmax:r distance_km:r "
+             "temporal_offset_days:i")
+
+
+@query("merge_overwrite", PUBLISHED, f"""
+SELECT fire_key, acq_date, weather_latitude AS latitude, weather_longitude AS longitude, weather_date AS date,
+ weather_tmax AS tmax, weather_ppt AS ppt, weather_vbdmax AS vbdmax, distance_km, temporal_offset_days
+FROM (SELECT * FROM ({FIRST}) a UNION ALL SELECT * FROM ({SECOND}) b) m""")
+def _(t):
+    return j.merge_fire_weather(*_inputs(t), overwrite=True)
+
+
+# the month of the fire chooses the box, whatever the month of the weather row
+ACROSS = f"""SELECT f.fire_key, f.latitude, f.longitude, f.acq_date, w.latitude AS weather_latitude,
+ w.longitude AS weather_longitude, w.date AS weather_date, w.tmax AS weather_tmax, w.ppt AS weather_ppt,
+ w.vbdmax AS weather_vbdmax, round({q.haversine('f.latitude', 'f.longitude', 'w.latitude', 'w.longitude')}, 6) AS distance_km,
+ abs(w.date - f.acq_date) AS temporal_offset_days
+FROM fire_v f JOIN ({BOX}) x ON x.y=year(f.acq_date) AND x.m=month(f.acq_date)
+JOIN weather_v w ON w.date BETWEEN f.acq_date - 2 AND f.acq_date + 2 AND w.latitude BETWEEN a AND b AND w.longitude BETWEEN c AND d
+WHERE f.fire_key NOT IN (SELECT fire_key FROM ({FIRST}) g)
+QUALIFY row_number() OVER (PARTITION BY f.fire_key ORDER BY distance_km, w.latitude, w.longitude, temporal_offset_days, w.date) = 1"""
+
+
+@query("merge_cross_month", MATCH, f"SELECT * FROM ({FIRST}) a UNION ALL SELECT * FROM ({ACROSS}) b")
+def _(t):
+    return j.merge_fire_weather(*_inputs(t), days=2, cross_month=True)
+
+
 @query("merge_fire_weather", MATCH, f"SELECT * FROM ({FIRST}) a UNION ALL SELECT * FROM ({SECOND}) b")
 def _(t):
     return j.merge_fire_weather(*_inputs(t))
