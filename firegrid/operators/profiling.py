@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from firegrid.functions.scalar import inverse_normal, yeo_johnson
 from firegrid.operators.ordering import running_total
 from firegrid.operators.quantiles import exact_quantiles, to_long
+from firegrid.session import written
 
 METHODS = ("original", "minmax", "zscore")
 
@@ -179,7 +181,7 @@ def scale_robust(df: DataFrame, columns: list[str], prefix: str = "robust_") ->
 
 
 def _best_lambda(counts: DataFrame, grid: Column) -> DataFrame:
-    """Grid value of largest log-likelihood per variable; ties to the smaller one.
+    """Grid value of largest log-likelihood per variable; ties to the smaller one; none for a constant.
 
     Each distinct value is expanded to the grid inside the task and summed up map-side.
     """
@@ -187,25 +189,50 @@ def _best_lambda(counts: DataFrame, grid: Column) -> DataFrame:
     terms = terms.withColumn("y", yeo_johnson(F.col("x"), F.col("lam")))
     mean = F.sum(F.col("c") * F.col("y")) / F.sum("c")
     fit = terms.groupBy("variable", "lam").agg(
-        F.sum("c").alias("n"),
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("values"),
         (F.sum(F.col("c") * F.col("y") * F.col("y")) / F.sum("c") - mean * mean).alias("v"),
         F.sum(F.col("c") * F.signum("x") * F.log1p(F.abs("x"))).alias("j"))
     score = -F.col("n") / 2.0 * F.log(F.col("v")) + (F.col("lam") - 1.0) * F.col("j")
-    return (fit.withColumn("ll", score).where("v > 0").groupBy("variable")
+    return (fit.withColumn("ll", score).where("values > 1 AND v > 0 AND v < double('infinity') AND ll < double('infinity')").groupBy("variable")
             .agg(F.max_by("lam", F.struct("ll", -F.col("lam"))).alias("lam")))
 
 
 def yeo_johnson_lambdas(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(variable, lam): search over -4..4 by 0.25, then twice around the best, to 0.0025."""
-    counts = to_long(df, [], columns).groupBy("variable", "x").agg(F.count(F.lit(1)).alias("c"))
-    coarse = F.transform(F.sequence(F.lit(-16), F.lit(16)), lambda i: i / 4.0)
-    found = _best_lambda(counts, coarse)
-    for step in (0.025, 0.0025):
+    """(variable, lam): the likeliest power, to 0.0025.
+
+    The search starts with -4..4 by 0.25. Where the best value is an end of its range, the range
+    goes on from there to twice that end, until the best lies inside or larger powers leave the
+    doubles. Then steps a tenth as long are tried around it. A step takes one row per variable
+    to the driver, never values.
+    """
+    long = to_long(df, [], columns).groupBy("variable", "x").agg(F.count(F.lit(1)).alias("c"))
+    counts = written(long, "value-counts")
+
+    def best(around: DataFrame, first: int, last: int) -> DataFrame:
         # one row per column name
-        around = counts.join(F.broadcast(found.withColumnRenamed("lam", "_c")), "variable")
-        near = F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda i: F.col("_c") + i * step)
-        found = _best_lambda(around, near)
-    return found
+        near = counts.join(F.broadcast(around), "variable")
+        grid = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda i: F.col("_c") + i * F.col("_step"))
+        return _best_lambda(near, grid)
+
+    spark, schema = df.sparkSession, "variable string, _c double, _step double"
+    steps = {c: 0.25 for c in columns}
+    found = {r.variable: r.lam for r in best(
+        spark.createDataFrame([(c, 0.0, s) for c, s in steps.items()], schema), -16, 16).collect()}
+    ends = {c: lam for c, lam in found.items() if abs(lam) == 4.0}
+    while ends:
+        steps |= {c: abs(end) / 16.0 for c, end in ends.items()}
+        rows = [(c, end, math.copysign(steps[c], end)) for c, end in ends.items()]
+        farther = {r.variable: r.lam for r in best(spark.createDataFrame(rows, schema), 0, 16).collect()}
+        found |= farther
+        ends = {c: lam for c, lam in farther.items() if abs(lam) == 2.0 * abs(ends[c])}
+    while found:
+        coarse = {c: steps[c] for c in found if steps[c] > 0.0026}
+        if not coarse:
+            break
+        steps |= {c: s / 10.0 for c, s in coarse.items()}
+        rows = [(c, found[c], steps[c]) for c in coarse]
+        found |= {r.variable: r.lam for r in best(spark.createDataFrame(rows, schema), -10, 10).collect()}
+    return spark.createDataFrame(list(found.items()), "variable string, lam double")
 
 
 def scale_yeojohnson(df: DataFrame, columns: list[str], prefix: str = "yeojohnson_") -> DataFrame:

@@ -34,17 +34,31 @@ def _(t):
         F.min("acq_date").alias("first_day"), F.max("acq_date").alias("last_day"))
 
 
-@query("src_weather_files", "date:d longitude:r latitude:r ppt:r tmax:r vbdmax:r", "SELECT * FROM weather_v")
-def _(t):
-    # Days become folders here, as Spark names files itself; the date is in the folder name.
+DAY = "date:d longitude:r latitude:r ppt:r tmax:r vbdmax:r"
+
+
+def _day_folders(t, weather):
+    """CSV files in one folder a day (Spark names the files itself); the date is only in the folder's name."""
     path = scratch_path(t.spark, "days")
-    days = t.weather().withColumn("day", F.date_format("date", "yyyyMMdd"))
-    (days.select("longitude", "latitude", "ppt", "tmax", "vbdmax", "day").repartition(t.spark.sparkContext.defaultParallelism, "day")
+    (weather.select("longitude", "latitude", "ppt", "tmax", "vbdmax", "day")
+     .repartition(t.spark.sparkContext.defaultParallelism, "day")
      .write.partitionBy("day").option("header", True).csv(path))
-    rows = t.spark.read.schema(s.WEATHER_SCHEMA).option("header", True).option(
-        "recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
-    name = F.concat(F.regexp_extract(F.col("_metadata.file_path"), r"day=(\d{8})", 1), F.lit(".csv"))
-    return rows.withColumn("date", date_from_name(name))
+    return path
+
+
+@query("src_weather_files", DAY, "SELECT * FROM weather_v")
+def _(t):
+    return s.read_weather_days(t.spark, _day_folders(t, t.weather().withColumn("day", F.date_format("date", "yyyyMMdd"))))
+
+
+@query("src_weather_range", DAY, """
+SELECT * FROM weather_v WHERE date BETWEEN DATE '1996-12-15' AND DATE '1999-02-10' AND station <> 2""")
+def _(t):
+    # folders that are no date, or no day of the calendar, are skipped
+    day = F.when(F.col("station") == 2, F.concat(F.lit("199813"), F.date_format("date", "dd"))).otherwise(
+        F.date_format("date", "yyyyMMdd"))
+    return s.read_weather_days(
+        t.spark, _day_folders(t, t.weather().withColumn("day", day)), dates=("1996-12-15", "1999-02-10"))
 
 
 @query("date_from_filename", "name date:d", """
@@ -110,6 +124,29 @@ def _(t):
     return weather.join(F.broadcast(pending), "year").groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("incremental_run", "station date:d tmax:r year:i month:i week run:i", f"""
+SELECT station, date, tmax, year(date) AS year, month(date) AS month, {q.week('date')} AS week,
+ CASE WHEN year(date) < 1998 THEN 1 ELSE 2 END AS run FROM weather_v""")
+def _(t):
+    # the second run sees every year and must leave those of the first as they are
+    path, weather = scratch_path(t.spark, "years"), t.weather()
+    s.write_new_years(weather.where(F.year("date") < 1998).withColumn("run", F.lit(1)), path)
+    s.write_new_years(weather.withColumn("run", F.lit(2)), path)
+    return t.spark.read.parquet(path)
+
+
+@query("summary_json", "total_rows:i first_date:d last_date:d tmax_max:r ppt_sum:r", """
+SELECT count(*) AS total_rows, min(date) AS first_date, max(date) AS last_date, max(tmax) AS tmax_max, sum(ppt) AS ppt_sum
+FROM weather_v""")
+def _(t):
+    table, summary = scratch_path(t.spark, "observed"), scratch_path(t.spark, "summary")
+    s.write_with_summary(
+        t.weather(), table, summary, F.count(F.lit(1)).alias("total_rows"), F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"), F.max("tmax").alias("tmax_max"), F.sum("ppt").alias("ppt_sum"))
+    return s.read_json_row(
+        t.spark, summary, "total_rows long, first_date date, last_date date, tmax_max double, ppt_sum double")
+
+
 @query("head_sample", "station date:d tmax:r", "SELECT station, date, tmax FROM weather_v ORDER BY date, station LIMIT 1000")
 def _(t):
     return s.head_sample(t.weather(), 1000, ["date", "station"])

@@ -44,15 +44,19 @@ def label_fires(
 
 def build_weather(
     daily: DataFrame, master_path: str, features_path: str, opts: weather.Features = weather.Features(),
-    size_km: float = 1,
+    size_km: float = 1, merge_only: bool = False,
 ) -> DataFrame:
-    """Clean the daily rows, store the master, store and return the features.
+    """Clean the years that the master does not hold yet, store them, store and return all features.
+
+    Cleaning works by day, so finished years stay as they are; features look at the whole
+    master, as bins and quartiles span years. ``merge_only`` builds features from the master as it is.
 
     Distinct rows of one location and day are an error: their order inside the day windows
     would be open. The caller decides how to reduce them (``cleaning.one_row_per_day`` is one way).
     """
-    files.write_weather_master(cleaning.clean_weather(daily), master_path, size_km)
-    master = daily.sparkSession.read.parquet(master_path)
+    if not merge_only:
+        files.write_new_years(daily, master_path, size_km, cleaning.clean_weather)
+    master = daily.sparkSession.read.option("mergeSchema", True).parquet(master_path)  # a year may lack a sparse column
     repeated = master.groupBy("longitude", "latitude", "date").count().where("count > 1")
     if not repeated.isEmpty():
         raise ValueError("several rows for one location and day: reduce them before building features")

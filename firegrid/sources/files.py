@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from firegrid.functions.calendar import date_from_name, week_text
 from firegrid.functions.spatial import with_cell
 
+MANIFEST = "_finished_years"  # readers of the table skip names with an underscore
+
 # Columns of the raw files.
 FIRE_SCHEMA = (
     "latitude double, longitude double, brightness double, scan double, track double, "
@@ -33,8 +38,10 @@ def read_weather_days(
 ) -> DataFrame:
     """Daily files ``<folder>/<year>/<yyyymmdd>.csv``; the date is read off the file name.
 
-    Files with another name are skipped; each year without any CSV file is an error, and so is
-    a header that differs from the schema. ``dates`` (first, last) keeps a range of days.
+    A day may also be a folder of CSV files, as Spark writes them: ``<yyyymmdd>/`` or
+    ``day=<yyyymmdd>/``. Files whose name and folder are no date are skipped; each year without
+    any CSV file is an error, and so is a header that differs from the schema. ``dates``
+    (first, last) keeps a range of days.
     """
     paths = [f"{folder}/{y}" for y in years] if years else [folder]
     empty = [p for p in paths if not _has_csv(spark, p)]
@@ -42,7 +49,8 @@ def read_weather_days(
         raise FileNotFoundError(f"no CSV files below {empty}")
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
     rows = reader.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(paths)
-    dated = rows.withColumn("date", date_from_name(F.col("_metadata.file_name")))
+    day_folder = date_from_name(F.col("_metadata.file_path"), r"/(?:day=)?(\d{8})/[^/]*$")
+    dated = rows.withColumn("date", F.coalesce(date_from_name(F.col("_metadata.file_name")), day_folder))
     dated = dated.where(F.col("date").isNotNull())
     if dates is not None:
         dated = dated.where(F.col("date").between(F.lit(dates[0]).cast("date"), F.lit(dates[1]).cast("date")))
@@ -124,6 +132,56 @@ def write_weather_master(df: DataFrame, path: str, size_km: float = 1) -> None:
      .partitionBy("year", "month").option("compression", "snappy").parquet(path))
 
 
+def finished_years(spark: SparkSession, path: str) -> DataFrame:
+    """(year): the years a master table at ``path`` holds in full, from the manifest beside its data."""
+    try:
+        return spark.read.schema("year int").parquet(f"{path}/{MANIFEST}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "year int")
+
+
+def write_new_years(
+    daily: DataFrame, path: str, size_km: float = 1, prepare: Callable[[DataFrame], DataFrame] | None = None,
+    redo: Sequence[int] = (),
+) -> list[int]:
+    """Add to the master table the years it does not hold yet; returns them.
+
+    Only rows of new years are read past the list of years, run through ``prepare`` (which must
+    treat each year alone) and written. A year enters the manifest after its months are in place,
+    so a run that died is simply repeated: it overwrites the months it left behind.
+    ``redo`` names years to write again, such as one that was not over at the last run.
+    Rows without a date belong to no year and are left out.
+    """
+    spark = daily.sparkSession
+    years = daily.where(F.col("date").isNotNull()).select(F.year("date").alias("year"))
+    held = finished_years(spark, path).where(~F.col("year").isin(list(redo)))
+    new = sorted(r.year for r in pending_years(years, held).collect())  # calendar years
+    if new:
+        rows = daily.where(F.year("date").isin(new))
+        write_weather_master(prepare(rows) if prepare else rows, path, size_km)
+        spark.createDataFrame([(y,) for y in new], "year int").coalesce(1).write.mode("append").parquet(f"{path}/{MANIFEST}")
+    return new
+
+
+def write_with_summary(df: DataFrame, path: str, summary_path: str, *summary: Column, by: Sequence[str] = ()) -> None:
+    """Write Parquet, and as JSON the ``summary`` aggregates of exactly the rows written.
+
+    The aggregates are observed while the rows are written, so nothing is read a second time.
+    They must not be distinct ones.
+    """
+    seen = Observation()
+    df.observe(seen, *summary).write.mode("overwrite").partitionBy(*by).parquet(path)
+    shape = df.limit(0).agg(*summary).schema
+    write_json_row(df.sparkSession.createDataFrame([tuple(seen.get[f.name] for f in shape)], shape).coalesce(1), summary_path)
+
+
+def read_json_row(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A summary written by ``write_json_row``; a line that is no such JSON is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Header CSV; the commit protocol publishes all files or none."""
     df.write.mode("overwrite").csv(path, header=True)

@@ -73,3 +73,61 @@ def test_three_way(spark):
     c = spark.createDataFrame([(d, 2, 9.0) for d in days], "date date, fire_count int, total_frp double")
     out = j.three_way_join(a, b, c)
     assert (out.count(), len(out.columns)) == (3, 8)
+
+
+def test_station_months_hold_days_as_bits(spark, weather):
+    plain = {(r.p_lat, r._month): r._days for r in j.station_months(weather).collect()}
+    assert plain[(35.1, D(2022, 1, 1))] == (1 << 25) | (1 << 29) | (1 << 31)
+    spilled = {(r.p_lat, r._month): r._days for r in j.station_months(weather, 1).collect()}
+    assert spilled[(35.9, D(2022, 1, 1))] == (1 << 17) | (1 << 47)  # 2 January, and 1 February seen from January
+    assert spilled[(60.0, D(2022, 2, 1))] == 1 << 15
+    with pytest.raises(ValueError):
+        j.station_months(weather, 17)
+
+
+def test_fallback_equals_brute_force(spark):
+    import random
+    rng = random.Random(4)
+    fires = [(k, 34 + rng.randrange(8) / 4, -120 + rng.randrange(8) / 4, D(2022, rng.choice((1, 2)), rng.randrange(1, 29))) for k in range(60)]
+    rows = [(33.9 + a / 3, -120.1 + b / 3, D(2022, rng.choice((1, 2, 3)), rng.randrange(1, 29))) for a in range(7) for b in range(7) for _ in range(2)]
+    rows = [(*r, float(k)) for k, r in enumerate(dict.fromkeys(rows))]
+    f = spark.createDataFrame(fires, "fire_key int, latitude double, longitude double, acq_date date")
+    w = spark.createDataFrame(rows, "latitude double, longitude double, date date, tmax double")
+    for days, cross in ((1, False), (5, False), (40, False), (5, True)):
+        got = {r.fire_key: (r.weather_tmax, r.temporal_offset_days)
+               for r in j.temporal_fallback(f, w, days=days, buffer=90.0, cross_month=cross).collect()}
+        want = {}
+        for key, lat, lon, day in fires:
+            near = [(round(km(lat, lon, a, b), 6), a, b, abs((d - day).days), d, t) for a, b, d, t in rows
+                    if abs((d - day).days) <= days and (cross or d.month == day.month)]
+            if near:
+                want[key] = (min(near)[5], min(near)[3])
+        assert got == want, (days, cross)
+
+
+def km(a, b, c, d):
+    import math
+    a, b, c, d = map(math.radians, (a, b, c, d))
+    h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+    return 12742 * math.asin(min(1.0, math.sqrt(h)))
+
+
+def test_empty_and_null_inputs(spark, fires, weather):
+    assert j.merge_fire_weather(fires, weather.limit(0)).count() == 0
+    assert j.merge_fire_weather(fires.limit(0), weather).count() == 0
+    holes = fires.unionByName(spark.createDataFrame([(9, None, -120.0, D(2022, 1, 10)), (10, 35.0, -120.0, None)], fires.schema))
+    assert {r.fire_key for r in j.merge_fire_weather(holes, weather).collect()} == {1, 2}
+    assert j.nearest_station(holes, weather, keep_misses=True).count() == 7
+
+
+def test_weather_rows_are_shuffled_once(spark):
+    """Past the stored station months, only the final join moves weather rows."""
+    import re
+
+    from firegrid.plans.adapters import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = j.merge_fire_weather(
+        t.fires().select("fire_key", "latitude", "longitude", "acq_date"), t.weather().drop("station")
+    )._jdf.queryExecution().executedPlan().toString()
+    # one exchange of the view's own grouping, one of the join
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_suppkey", plan)) == 1

@@ -123,3 +123,25 @@ def test_patterns_weights_encoding(spark):
     assert got == {1: (0, 1577836800), 2: (1, None), 3: (-1, None), 4: (0, 86400)}
     lv = spark.createDataFrame([(0.66,), (0.661,), (0.33,), (None,)], "p double").select(risk_level(F.col("p"))).collect()
     assert [r[0] for r in lv] == ["Medium", "High", "Low", None]
+
+
+def test_yeo_johnson_search_goes_past_its_first_range(spark):
+    import numpy as np
+
+    from firegrid.operators.profiling import yeo_johnson_lambdas
+    rng = np.random.default_rng(2)
+    z = rng.normal(10.0, 1.0, 400)
+    high, low = z ** (1 / 9.0) - 1.0, 1.0 - z ** (1 / 9.0)  # best powers near 9 and 2 - 9
+    df = spark.createDataFrame([(float(a), float(b), 1.0) for a, b in zip(high, low)], "high double, low double, flat double")
+
+    def likelihood(x, lam):
+        y = np.where(x >= 0, ((np.abs(x) + 1) ** lam - 1) / lam if lam else np.log1p(np.abs(x)),
+                     -((1 + np.abs(x)) ** (2 - lam) - 1) / (2 - lam) if lam != 2 else -np.log1p(np.abs(x)))
+        return -len(x) / 2 * np.log(y.var()) + (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+    got = {r.variable: r.lam for r in yeo_johnson_lambdas(df, ["high", "low", "flat"]).collect()}
+    assert set(got) == {"high", "low"}
+    grid = np.arange(-40, 40, 0.01) + 0.003
+    for name, x in (("high", high), ("low", low)):
+        want = grid[np.argmax([likelihood(x, g) for g in grid])]
+        assert abs(want) > 5 and got[name] == pytest.approx(want, abs=0.02)

@@ -113,6 +113,41 @@ def test_flows(spark, tmp_path):
     assert matched.count() == 50 and matched.where("weather_tmax IS NULL").count() == 0
 
 
+def test_second_run_writes_only_new_years(spark, tmp_path):
+    path = str(tmp_path / "years")
+    rows = [(35.0 + k % 3, -120.0, dt.date(2012 + k % 4, 1 + k % 12, 1 + k % 28), float(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "latitude double, longitude double, date date, tmax double")
+    hole = spark.createDataFrame([(35.0, -120.0, None, 1.0)], df.schema)
+    assert s.write_new_years(df.where("year(date) < 2014").unionByName(hole), path) == [2012, 2013]
+    kept = {f for f in (tmp_path / "years").rglob("*.parquet") if "year=" in str(f)}
+    assert s.write_new_years(df, path) == [2014, 2015]
+    assert kept <= set((tmp_path / "years").rglob("*.parquet"))
+    assert s.write_new_years(df, path) == []
+    whole = str(tmp_path / "whole")
+    s.write_weather_master(df, whole)
+    a, b = (spark.read.parquet(x).select(sorted(spark.read.parquet(whole).columns)) for x in (path, whole))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert s.write_new_years(df.withColumn("tmax", F.lit(0.0)), path, redo=[2015]) == [2015]
+    assert spark.read.parquet(path).where("year = 2015").agg(F.max("tmax")).first()[0] == 0.0
+    assert sorted(r.year for r in s.finished_years(spark, path).distinct().collect()) == [2012, 2013, 2014, 2015]
+    assert s.write_new_years(df.limit(0), path) == []
+
+
+def test_a_run_that_died_before_the_manifest_is_repeated(spark, tmp_path):
+    path = str(tmp_path / "years")
+    df = spark.createDataFrame([(35.0, -120.0, dt.date(2012, 3, 1), 1.0)], "latitude double, longitude double, date date, tmax double")
+    s.write_weather_master(df, path)  # the months are there, the manifest is not
+    assert s.write_new_years(df, path) == [2012] and spark.read.parquet(path).count() == 1
+
+
+def test_summary_is_observed_while_rows_are_written(spark, tmp_path):
+    df = spark.range(1000, numPartitions=7).withColumn("y", F.col("id") % 3)
+    s.write_with_summary(df, str(tmp_path / "t"), str(tmp_path / "s"), F.count(F.lit(1)).alias("n"), F.max("id").alias("top"), by=["y"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000
+    row = s.read_json_row(spark, str(tmp_path / "s"), "n long, top long").collect()
+    assert [(r.n, r.top) for r in row] == [(1000, 999)]
+
+
 def test_row_local_operators_accept_streams(spark, tmp_path):
     from firegrid.functions.spatial import with_cell
     from firegrid.operators.cleaning import in_coordinate_range, sentinels_to_null

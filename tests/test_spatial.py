@@ -117,3 +117,25 @@ def test_lattice(spark):
 def test_haversine(spark):
     km = spark.range(1).select(s.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))).first()[0]
     assert km == pytest.approx(math.pi * 6371, abs=1e-6)
+
+
+def test_nearest_among_points_that_share_a_bit(spark):
+    rng = np.random.default_rng(9)
+    n, m = 200, 300
+    places = np.column_stack([rng.uniform(32, 42, n), rng.uniform(-124, -114, n)])
+    pts = np.column_stack([rng.uniform(32, 42, m), rng.uniform(-124, -114, m)])
+    has = np.array([1 << int(k) for k in rng.integers(0, 8, m)]) | np.array([1 << int(k) for k in rng.integers(0, 8, m)])
+    has[has & 128 != 0] &= 127  # bit 7 nobody has
+    has[0] = 1 << 62
+    wants = [1, 6, 128, 255, (1 << 62) | 1, 1 << 62]
+    q = spark.createDataFrame([("g", float(a), float(b), w) for a, b in places for w in wants], "g string, " + POINTS + ", want long")
+    p = spark.createDataFrame([("g", float(a), float(b), int(h)) for (a, b), h in zip(pts, has)],
+                              "g string, p_lat double, p_lon double, has long")
+    got = {(r.latitude, r.longitude, r.want): r.distance_km for r in nearest_point(q, p, ["g"], want="want", has="has").collect()}
+    for a, b in places:
+        for w in wants:
+            fit = pts[(has & w) != 0]
+            if len(fit):
+                assert got[(a, b, w)] == pytest.approx(brute((a, b), fit).min(), abs=2e-6)
+            else:
+                assert (a, b, w) not in got
