@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from firegrid.llm import ann, chat, decontam, jaccard, langid, maxent, mixing, quality, tokens, urls
@@ -101,6 +102,32 @@ def test_class_model_sums_to_one():
     assert np.allclose(np.exp(maxent.log_softmax(w, f)).sum(axis=1), 1, atol=1e-5)
 
 
+def test_part_model_sums_to_one_and_learns():
+    rng = np.random.default_rng(4)
+    kind = rng.integers(maxent.HEADS + 1, maxent.CLASSES, 4000)
+    word = rng.integers(0, 9, 4000).astype(np.uint64)
+    f = maxent.part_features(word, kind, np.repeat(np.arange(40), 100))
+    target = np.concatenate([[0], word[:-1].astype(np.int64)])  # the word before decides
+    learner = maxent.Learner(np.zeros((maxent.BUCKETS, maxent.PARTS), np.float32))
+    for _ in range(20):
+        learner.learn(f, target)
+    log = maxent.log_softmax(learner.w, f)
+    assert np.allclose(np.exp(log).sum(axis=1), 1, atol=1e-5)
+    assert log[np.arange(4000), target].mean() > -0.5 > -np.log(maxent.PARTS)
+
+
+def test_texts_as_word_numbers():
+    texts = ["B a\x0bA  b\x1cc ", None, "", " \t", "\u00c4 \u00e4\u00a0x", "z " * 70_000]
+    lot, codes, sizes = maxent.split_texts(pa.array(texts))
+    want = [words(t) + [b""] for t in texts]
+    assert [lot[i] for i in codes] == [w for own in want for w in own] and list(sizes) == [len(own) for own in want]
+    assert len(set(lot)) == len(lot) and (maxent.unpack(maxent.pack(codes)) == codes).all()
+    wide = np.array([0, 255, 256, 70_000, 2**32 - 1])
+    assert (maxent.unpack(maxent.pack(wide)) == wide).all()
+    lot, codes, sizes = maxent.split_texts(pa.array([], pa.string()))
+    assert lot == [b""] and len(codes) == 0 and len(sizes) == 0
+
+
 def test_url_cases(spark):
     kind = "page_id long, url string, host string, verdict string"
     rows = [(1, "http://A.com/x?y", "h", "v"), (2, None, "h", "v"), (3, "no scheme", "h", "v"), (4, "http://example.com/en/1", "h", "v"),
