@@ -128,6 +128,11 @@ def _(t):
     return within_polygon(t.fires(), edges_from_rings(t.spark, [OUTLINE]))
 
 
+@query("within_polygon_cells", FIRE, f"SELECT * FROM fire_v WHERE {q.inside()}")
+def _(t):
+    return within_polygon(t.fires(), edges_from_rings(t.spark, [OUTLINE]), small=0)
+
+
 @query("bbox_filter", "station date:d latitude:r longitude:r tmax:r", """
 SELECT w.* FROM weather_v w, (SELECT min(latitude) a, max(latitude) b, min(longitude) c, max(longitude) d
  FROM fire_v) x WHERE w.latitude BETWEEN a+0.5e0 AND b-0.5e0 AND w.longitude BETWEEN c+0.5e0 AND d-0.5e0""")

@@ -36,7 +36,7 @@ def test_query(spark, db, name):
 
 
 def test_all_operators_are_registered():
-    assert len(load()) == 119
+    assert len(load()) == 120
     assert set(load()) == set(ORACLE)
 
 

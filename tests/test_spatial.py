@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from firegrid.functions import spatial as s
 from firegrid.operators.nearest import nearest_point
-from firegrid.operators.polygons import edges_from_rings, lattice_cells, with_inside
+from firegrid.operators.polygons import Cover, _with_inside_cells, edges_from_rings, lattice_cells, with_inside
 
 POINTS = "latitude double, longitude double"
 
@@ -107,6 +107,51 @@ def test_polygon_with_hole_and_parts(spark):
         assert r.inside == want, r
 
 
+@pytest.mark.parametrize("sizes", [{}, {"bands": 3, "columns": 2, "corners": 1}, {"bands": 7, "columns": 5, "corners": 2}])
+def test_cells_of_a_cover_agree_with_the_ray(spark, sizes):
+    rng = np.random.default_rng(10)
+    rows = [(float(b), float(a)) for a, b in zip(rng.uniform(-2, 27, 1500), rng.uniform(-2, 12, 1500))]
+    corners = [(y, x) for ring in RINGS for x, y in ring]
+    ties = [(y, x + d) for y, x in corners for d in (-1e-13, 0.0, 1e-13)] + [(y, x) for y, _ in corners for _, x in corners]
+    nan = float("nan")
+    df = spark.createDataFrame([*rows, *ties, *rows[:5], (None, 1.0), (1.0, None), (nan, 1.0), (1.0, nan)], POINTS)
+    got = _with_inside_cells(df, edges_from_rings(spark, RINGS), "latitude", "longitude", "inside", **sizes).collect()
+    assert len(got) == len(rows) + len(ties) + 9
+    for r in got:
+        bad = r.latitude is None or r.longitude is None or r.latitude != r.latitude or r.longitude != r.longitude
+        assert r.inside == (False if bad else ray(r.longitude, r.latitude)), r
+
+
+def test_an_outline_of_many_corners_is_split_into_cells(spark):
+    rng = np.random.default_rng(11)
+    turn = np.sort(rng.uniform(0, 2 * np.pi, 6000) ** 3) / (2 * np.pi) ** 2  # most corners in a small part
+    far = rng.uniform(4, 6, 6000)
+    x, y = far * np.cos(turn), far * np.sin(turn)
+    nodes = spark.createDataFrame([(0, float(a), float(b), float(c), float(d)) for a, b, c, d in zip(x, y, np.roll(x, -1), np.roll(y, -1))],
+                                  "ring_id int, x1 double, y1 double, x2 double, y2 double")
+    points = [(float(b), float(a)) for a, b in zip(rng.uniform(-7, 7, 800), rng.uniform(-7, 7, 800))]
+    points += [(float(b), float(a)) for a, b in zip(x[::20], y[::20])]
+    df = spark.createDataFrame(points, POINTS)
+    got = with_inside(df, nodes)
+    assert "_es" in got._jdf.queryExecution().analyzed().toString()  # more edges than one row may hold
+    x2, y2 = np.roll(x, -1), np.roll(y, -1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for r in got.collect():
+            hit = ((y <= r.latitude) != (y2 <= r.latitude)) & (r.longitude < x + (r.latitude - y) / (y2 - y) * (x2 - x))
+            assert r.inside == bool(hit.sum() % 2), r
+    longest = Cover(nodes).cells().agg(F.max(F.size("es")).alias("n"), F.count(F.lit(1)).alias("cells")).first()
+    assert longest.n < 200 and longest.cells > 10_000
+
+
+def test_outlines_without_area_hold_nothing(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0)], POINTS)
+    level = edges_from_rings(spark, [[(0.0, 0.0), (2.0, 0.0)]])
+    assert [r.inside for r in with_inside(df, level, small=0).collect()] == [False, False]
+    assert [r.inside for r in with_inside(df, level.where("x1 > 9"), small=-1).collect()] == [False, False]
+    upright = edges_from_rings(spark, [[(1.0, -1.0), (1.0, 1.0)]])
+    assert [r.inside for r in with_inside(df, upright, small=0).collect()] == [False, False]
+
+
 def test_lattice(spark):
     square = edges_from_rings(spark, [[(-119.0, 35.0), (-118.0, 35.0), (-118.0, 36.0), (-119.0, 36.0)]])
     cells = [r.grid_id for r in lattice_cells(spark, square, 10).collect()]
