@@ -2,7 +2,9 @@
 
 Input: one row per (longitude, latitude, date); a bin of a location then has at most
 ``chunk_days`` rows. All windows share one partitioning and so one shuffle of the rows; the
-per-bin statistics read the input again and come back as one row per bin.
+per-bin statistics read the input again and come back as one row per bin. A ``location_key``
+(``with_location_key``) takes the place of the two coordinates: grouping by doubles first normalises
+them, so only a table bucketed by such a key needs no shuffle at all.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from firegrid.functions.scalar import bin_right_closed, flag
 from firegrid.operators.quantiles import quantiles_wide
 
 LOC = ("longitude", "latitude", "date_bin")
+KEYED = ("location_key", "date_bin")
 EPS = 1e-8
 
 
@@ -72,6 +75,17 @@ def _minmax(x: Column, w) -> Column:
     return (x - F.min(x).over(w)) / (F.max(x).over(w) - F.min(x).over(w) + EPS)
 
 
+def with_location_key(df: DataFrame) -> DataFrame:
+    """Add ``location_key``, a text that is equal for equal coordinates only (-0.0 equals 0.0, NULL equals NULL)."""
+    parts = (F.coalesce((F.col(c) + F.lit(0.0)).cast("string"), F.lit("-")) for c in LOC[:2])
+    return df.withColumn("location_key", F.concat_ws(" ", *parts))
+
+
+def location_bin(df: DataFrame) -> tuple[str, ...]:
+    """The columns that name a bin of a location."""
+    return KEYED if "location_key" in df.columns else LOC
+
+
 def hot_dry_index(
     df: DataFrame, hot_above: float = 25.0, dry_below: float = 1.0,
     tmax: str = "tmax", ppt: str = "ppt",
@@ -79,7 +93,7 @@ def hot_dry_index(
     """Scaled heat plus inverted scaled rain, and the three day flags."""
     if not {tmax, ppt, *LOC} <= set(df.columns):
         return df.withColumn("hot_dry_index", F.lit(0.0))
-    w = Window.partitionBy(*LOC)
+    w = Window.partitionBy(*location_bin(df))
     t, p = F.col(tmax), F.col(ppt)
     hot, dry = flag(t > hot_above), flag(p < dry_below)
     return df.withColumns({
@@ -90,8 +104,8 @@ def hot_dry_index(
     })
 
 
-def _trailing(rows: int):
-    return Window.partitionBy(*LOC).orderBy("date").rowsBetween(1 - rows, 0)
+def _trailing(df: DataFrame, rows: int):
+    return Window.partitionBy(*location_bin(df)).orderBy("date").rowsBetween(1 - rows, 0)
 
 
 def _enough(x: Column, w, min_rows: int, value: Column) -> Column:
@@ -105,7 +119,7 @@ def spi(df: DataFrame, lookback: int = 7, min_rows: int = 1, ppt: str = "ppt") -
     """
     if not {ppt, *LOC, "date"} <= set(df.columns):
         return df.withColumns({"spi_7day": F.lit(0.0), "drought_category": F.lit(0)})
-    w, p = _trailing(lookback), F.col(ppt)
+    w, p = _trailing(df, lookback), F.col(ppt)
     total, mean, dev = F.sum(p).over(w), F.avg(p).over(w), F.stddev_samp(p).over(w)
     index = F.coalesce(
         F.try_divide(_enough(p, w, min_rows, total - mean), F.nullif(dev, F.lit(0.0))), F.lit(0.0))
@@ -118,7 +132,7 @@ def vpd_extremes(df: DataFrame, percentile: float = 0.9, vpd: str = "vbdmax") ->
     """Above the location's percentile, and the z-score (0 without spread)."""
     if not {vpd, *LOC} <= set(df.columns):
         return df.withColumns({"vpd_extreme": F.lit(0), "vpd_anomaly": F.lit(0.0)})
-    w, v = Window.partitionBy(*LOC), F.col(vpd)
+    w, v = Window.partitionBy(*location_bin(df)), F.col(vpd)
     limit = F.percentile(v, F.lit(percentile)).over(w)
     score = F.try_divide(v - F.avg(v).over(w), F.nullif(F.stddev_samp(v).over(w), F.lit(0.0)))
     return df.withColumns({
@@ -131,7 +145,7 @@ def _rank_edges(df: DataFrame, vpd: str) -> DataFrame:
     A location with n values contributes exactly 1/n .. n/n, so counting locations per
     (bin, n) yields the whole distribution without ranking anything.
     """
-    sizes = df.groupBy(*LOC).agg(F.count(vpd).alias("n")).where("n > 0")
+    sizes = df.groupBy(*location_bin(df)).agg(F.count(vpd).alias("n")).where("n > 0")
     same = sizes.groupBy("date_bin", "n").agg(F.count(F.lit(1)).alias("m"))
     places = same.select("date_bin", "n", "m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
     shares = places.select("date_bin", "m", (F.col("k") / F.col("n")).alias("share"))
@@ -146,7 +160,7 @@ def vpd_risk(df: DataFrame, vpd: str = "vbdmax", base: DataFrame | None = None)
     """
     if not {vpd, *LOC} <= set(df.columns):
         return df.withColumn("vpd_risk_category", F.lit(1))
-    w = Window.partitionBy(*LOC)
+    w = Window.partitionBy(*location_bin(df))
     order = w.orderBy(F.col(vpd).isNull(), F.col(vpd), F.col("date"))
     share = F.when(
         F.col(vpd).isNotNull(), F.row_number().over(order) / F.count(vpd).over(w))
@@ -187,7 +201,7 @@ def rolling_means(df: DataFrame, rows: int = 7, min_rows: int = 1) -> DataFrame:
     """Means over the last rows (not days) of the location; an absent measure gives NULL."""
     if not {*LOC, "date"} <= set(df.columns):
         return df
-    w = _trailing(rows)
+    w = _trailing(df, rows)
     return df.withColumns({
         out: _enough(F.col(c), w, min_rows, F.avg(c).over(w)) if c in df.columns
         else F.lit(None).cast("double")
@@ -203,7 +217,7 @@ def compound_indices(df: DataFrame) -> DataFrame:
             if c in df.columns}
     heat = F.lit(0.0)
     if "hot_dry_index" in have:
-        heat = 5.0 * _minmax(F.col("hot_dry_index"), Window.partitionBy(*LOC))
+        heat = 5.0 * _minmax(F.col("hot_dry_index"), Window.partitionBy(*location_bin(df)))
     df = df.withColumn("_heat", heat)
     parts = {"hot_dry_index": F.col("_heat")}
     for c in ("vpd_risk_category", "drought_category", "wind_risk"):

@@ -7,6 +7,8 @@ from firegrid.operators.serving import last_days, serving_features
 from firegrid.plans import sqltext as q
 from firegrid.plans.catalog import query
 from firegrid.plans.q_scalars import scaled_sql
+from firegrid.session import scratch_path
+from firegrid.sources.files import write_location_table
 
 KEY = "station date:d date_bin"
 B, LOC = q.WEATHER_BINS, q.LOC
@@ -104,6 +106,15 @@ def _(t):
     return w.engineer_features(t.weather())
 
 
+@query("features_from_locations", FEATURE_COLS,
+       f"SELECT s.*, {COMPOUND}, {TIME}, {scaled_sql('tmax')}, {scaled_sql('ppt')}, {scaled_sql('vbdmax')} FROM ({STEP2}) s")
+def _(t):
+    path = scratch_path(t.spark, "locations")
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    table = write_location_table(t.weather(), "locations_" + path[-32:], path, buckets)
+    return w.engineer_features(table).drop("location_key")
+
+
 @query("feature_run_summary", "total_rows_processed:i first_date:d last_date:d total_date_range_days:i "
        "chunk_interval_days:i total_chunks_processed:i", f"""
 SELECT count(*) AS total_rows_processed, min(date) AS first_date, max(date) AS last_date,

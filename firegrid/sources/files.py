@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from firegrid.functions.calendar import date_from_name, week_text
 from firegrid.functions.spatial import with_cell
+from firegrid.operators.weather import with_location_key
 
 MANIFEST = "_finished_years"  # readers of the table skip names with an underscore
 
@@ -132,6 +134,27 @@ def write_weather_master(df: DataFrame, path: str, size_km: float = 1) -> None:
      .partitionBy("year", "month").option("compression", "snappy").parquet(path))
 
 
+def write_location_table(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """The rows of ``df`` with their ``location_key`` as table ``table`` below ``path``, bucketed by the key, sorted by it and date.
+
+    The weather features read it without a shuffle by location. Rows are brought together by the hash
+    that buckets use, so each task writes one file; a location has one row a day, so a bucket
+    grows with its locations only. Take about one bucket for every 128 MB.
+    """
+    (with_location_key(df).repartition(buckets, "location_key").write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, "location_key").sortBy("location_key", "date").saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
+def open_location_table(spark: SparkSession, schema: StructType, table: str, path: str, buckets: int) -> DataFrame:
+    """A table of columns ``schema`` that an earlier session wrote with ``write_location_table``; its catalog may have ended with it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}, location_key string) USING parquet LOCATION '{place}' "
+              f"CLUSTERED BY (location_key) SORTED BY (location_key, date) INTO {buckets} BUCKETS")
+    return spark.table(table)
+
+
 def finished_years(spark: SparkSession, path: str) -> DataFrame:
     """(year): the years a master table at ``path`` holds in full, from the manifest beside its data."""
     try:

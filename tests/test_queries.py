@@ -36,7 +36,7 @@ def test_query(spark, db, name):
 
 
 def test_all_operators_are_registered():
-    assert len(load()) == 120
+    assert len(load()) == 121
     assert set(load()) == set(ORACLE)
 
 
@@ -47,3 +47,21 @@ def test_features_shuffle_rows_once(spark):
     df = engineer_features(weather, Features(vpd=False, scaled=False, chunk_days=None))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\([^\n]*longitude", plan)) == 1
+
+
+def test_location_table_needs_no_shuffle_by_location(spark, tmp_path):
+    from firegrid.operators.weather import Features, engineer_features
+    from firegrid.plans.adapters import Tables
+    from firegrid.sources.files import open_location_table, write_location_table
+    weather, path = Tables(spark, FOLDER).weather(), str(tmp_path / "rows")
+    write_location_table(weather, "by_location", path, 4)
+    spark.sql("DROP TABLE by_location")  # its files stay
+    again = open_location_table(spark, weather.schema, "by_location_again", path, 4)
+    assert len(glob.glob(f"{path}/*.parquet")) <= 4
+    assert again.count() == weather.count() and again.drop("location_key").exceptAll(weather).isEmpty()
+    for opts in (Features(scaled=False), Features(vpd=False, scaled=False, chunk_days=None)):
+        df = engineer_features(again, opts)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and not re.search(r"Exchange hashpartitioning\([^\n]*(longitude|location_key)", plan)
+        assert df.count() == weather.count()
+    spark.sql("DROP TABLE by_location_again")

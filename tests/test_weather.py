@@ -161,3 +161,11 @@ def test_serving(spark):
     assert r.fire_risk_index == pytest.approx((r.fire_weather_index + r.drought_weather_index) / 2)
     assert (r.drought_category, r.vpd_risk_category, r.season, r.is_fire_season, r.is_santa_ana_season) == (1, 2, 2, 1, 0)
     assert r.week_sin == pytest.approx(math.sin(2 * math.pi * 26 / 52))
+
+
+def test_location_key_parts_locations_like_the_coordinates(spark):
+    from firegrid.operators.weather import with_location_key
+    rows = [(0.0, 1.0), (-0.0, 1.0), (1.0, 0.0), (None, 1.0), (1.0, None), (None, None), (float("nan"), 1.0), (1e-300, 1.0), (0.1 + 0.2, 1.0), (0.3, 1.0)]
+    df = with_location_key(spark.createDataFrame(rows * 2, "longitude double, latitude double"))
+    by = df.groupBy("longitude", "latitude").agg(F.count_distinct("location_key").alias("keys"), F.first("location_key").alias("key")).collect()
+    assert len(by) == 9 and all(r["keys"] == 1 for r in by) and len({r["key"] for r in by}) == 9
