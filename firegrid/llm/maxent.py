@@ -270,7 +270,7 @@ def _train(shared, turn: int):
 def _averaged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(GRID * CLASSES)
     for g, seen in zip(pdf["gain"], pdf["seen"]):
-        total += np.frombuffer(g, np.float16) * float(seen)
+        total += np.frombuffer(g, np.float16).astype(np.float64) * seen  # the product passes the range of a half float
     seen = int(pdf["seen"].sum())
     return pd.DataFrame({"block": [key[0]], "seen": [seen], "gain": [(total / seen).astype(np.float16).tobytes()]})
 

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -116,6 +117,13 @@ def test_part_model_sums_to_one_and_learns():
     assert log[np.arange(4000), target].mean() > -0.5 > -np.log(maxent.PARTS)
 
 
+def test_gains_are_averaged_by_many_tokens():
+    gains = [np.full(maxent.GRID * maxent.CLASSES, g, np.float16).tobytes() for g in (1.0, -0.5)]
+    got = maxent._averaged((7,), pd.DataFrame({"block": 7, "salt": 0, "seen": [300_000, 100_000], "gain": gains}))
+    assert (got["block"][0], got["seen"][0]) == (7, 400_000)
+    assert np.allclose(np.frombuffer(got["gain"][0], np.float16), 0.625)
+
+
 def test_texts_as_word_numbers():
     texts = ["B a\x0bA  b\x1cc ", None, "", " \t", "\u00c4 \u00e4\u00a0x", "z " * 70_000]
     lot, codes, sizes = maxent.split_texts(pa.array(texts))
