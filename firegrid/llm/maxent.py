@@ -3,8 +3,8 @@
 P(word | words before) = P(class | words before) * P(part | class, words before) * P(word | class, part).
 
 * Classes: the ``HEADS`` most frequent words and the end of a text are classes of their own; all other words, unseen ones too, fall into
-  spelling classes (k-means over hashed letter pairs), so the class follows from the word alone. Five bits of a word's hash name its
-  part of a spelling class.
+  spelling classes (the closest of 16 fixed directions among hashed letter pairs), so the class follows from the word alone and is not
+  learned. Five bits of a word's hash name its part of a spelling class.
 * First factor: softmax over the classes of summed weights of hashed features: the word before, the word two before (a skip),
   classes of the last three words, and of the third and fourth last words (a skip).
 * Second factor: softmax over the parts, its features the class alone, with the word before, and with the word two before.
@@ -19,8 +19,7 @@ names. A very long text is one batch of its own, read whole. Words are told apar
 
 Scale: texts are split once, into batches of word numbers that are written to the shared folder; later passes are sparse numpy work on
 them. Word counts over the whole corpus are made by a shuffle and joined back to the words of each batch, so no vocabulary is broadcast.
-Broadcast are the weights (2 x ``BUCKETS`` x 32), the spelling centroids and the totals of the parts, of fixed size. Only the centroids
-come from a sample: ``SAMPLE`` words of about ``TEXTS`` whole texts.
+Broadcast are the weights (2 x ``BUCKETS`` x 32) and the totals of the parts, of fixed size. Nothing comes from a sample.
 """
 
 from __future__ import annotations
@@ -34,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import ascii_lower, fold, groups, mix, slices, word_array
+from firegrid.llm.common import fold, groups, mix, slices
 from firegrid.session import written
 
 HEADS, SPELLINGS, PARTS, BUCKETS, FEATURES = 15, 16, 32, 1 << 15, 4
 CLASSES = HEADS + 1 + SPELLINGS
-ADD, ROUNDS, RATE, STEP, SAMPLE, TEXTS = 0.1, 2, 1.0, 1 << 13, 20_000, 2_000
+ADD, ROUNDS, RATE, STEP = 0.1, 2, 1.0, 1 << 13
 BATCH, SLICE, GRID, REACH = 16 << 20, 1 << 17, 1 << 10, 4
 END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 
@@ -56,22 +55,19 @@ def spelling(lot: list[bytes]) -> np.ndarray:
     return out / np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
 
 
-def nearest_spelling(lot: list[bytes], centroids: np.ndarray) -> np.ndarray:
-    out = [np.argmax(spelling(lot[a:z]) @ centroids.T, axis=1) for a, z in groups([len(w) + 2 for w in lot], 1 << 17)]
-    return np.concatenate(out).astype(np.uint8) if out else np.zeros(0, np.uint8)
+def _directions() -> np.ndarray:
+    """Fixed directions; without their means, as all frequencies are positive."""
+    d = np.random.default_rng(11).standard_normal((SPELLINGS, 64)).astype(np.float32)
+    d -= d.mean(axis=1, keepdims=True)
+    return d / np.sqrt(np.einsum("ij,ij->i", d, d))[:, None]
+
 
+DIRECTIONS = _directions()
 
-def cluster(sample: list[bytes], steps: int = 15) -> np.ndarray:
-    x = spelling(sample) if sample else np.zeros((0, 64), np.float32)
-    rng = np.random.default_rng(11)
-    c = x[rng.choice(len(x), SPELLINGS, replace=False)].copy() if len(x) >= SPELLINGS else rng.random((SPELLINGS, 64), dtype=np.float32)
-    for _ in range(steps if len(x) >= SPELLINGS else 0):
-        near = np.argmax(x @ c.T, axis=1)
-        for k in range(SPELLINGS):
-            if (own := near == k).any():
-                m = x[own].sum(axis=0)
-                c[k] = m / np.sqrt((m * m).sum())
-    return c
+
+def spelling_class(lot: list[bytes]) -> np.ndarray:
+    out = [np.argmax(spelling(lot[a:z]) @ DIRECTIONS.T, axis=1) for a, z in groups([len(w) + 2 for w in lot], 1 << 17)]
+    return np.concatenate(out).astype(np.uint8) if out else np.zeros(0, np.uint8)
 
 
 def kinds_of(hashes: np.ndarray, spell: np.ndarray, heads: list[int]) -> np.ndarray:
@@ -122,21 +118,19 @@ def unpack(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def _encode(shared):
-    def run(batches):
-        serial = TaskContext.get().partitionId() << 32
-        for b in slices(batches, "text", BATCH):
-            held = b.column("held").to_pylist()
-            lot, codes, sizes = split_texts(b.column("text"))
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lot), np.uint64, len(lot))
-            n = np.bincount(codes[np.repeat(~np.array(held, bool), sizes)], minlength=len(lot))
-            row = [serial, held, b.column("doc_id").to_pylist(), sizes.tolist(), hashes.tobytes(), nearest_spelling(lot, shared.value).tobytes(),
-                   n.astype(np.uint32).tobytes(), pack(codes)]
-            types = [pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)],
-                                             names=["id", "held", "doc_ids", "sizes", "hashes", "spell", "counts", "codes"])
-            serial += 1
-    return run
+def _encode(batches):
+    serial = TaskContext.get().partitionId() << 32
+    for b in slices(batches, "text", BATCH):
+        held = b.column("held").to_pylist()
+        lot, codes, sizes = split_texts(b.column("text"))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lot), np.uint64, len(lot))
+        n = np.bincount(codes[np.repeat(~np.array(held, bool), sizes)], minlength=len(lot))
+        row = [serial, held, b.column("doc_id").to_pylist(), sizes.tolist(), hashes.tobytes(), spelling_class(lot).tobytes(),
+               n.astype(np.uint32).tobytes(), pack(codes)]
+        types = [pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)],
+                                         names=["id", "held", "doc_ids", "sizes", "hashes", "spell", "counts", "codes"])
+        serial += 1
 
 
 def _rows(batches):
@@ -328,20 +322,11 @@ def _score(shared):
     return run
 
 
-def sample_words(rows: DataFrame) -> list[bytes]:
-    """At most ``SAMPLE`` distinct words (of up to 64 letters) of about ``TEXTS`` whole texts; they only place the spelling centroids."""
-    every = -(-rows.count() // TEXTS) or 1
-    lot = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.explode(word_array(ascii_lower("text"))).alias("word"))
-    lot = lot.where(F.length("word") <= 64).distinct().orderBy(F.xxhash64("word"), "word").limit(SAMPLE)
-    return [r["word"].encode() for r in lot.collect()]
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 10) == 0).alias("held"), F.col("text").cast("string").alias("text"))
-    centroids = sc.broadcast(cluster(sample_words(rows)))
-    coded = written(rows.mapInArrow(_encode(centroids), CODED), "coded-texts")
+    coded = written(rows.mapInArrow(_encode, CODED), "coded-texts")
     tallies = coded.select("hashes", "spell", "counts").mapInArrow(_training_counts, "word long, spell int, n long")
     counts = written(tallies.groupBy("word").agg(F.sum("n").alias("c"), F.max("spell").alias("spell")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()

@@ -124,6 +124,16 @@ def test_gains_are_averaged_by_many_tokens():
     assert np.allclose(np.frombuffer(got["gain"][0], np.float16), 0.625)
 
 
+def test_held_out_texts_shape_no_model(spark):
+    import zlib
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0][:60]
+    learned = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10][:60]
+    own = [(i, f"a{i % 7}b c{i % 5}d the e{i % 3}f and g{i}h") for i in learned]
+    more = own + [(i, " ".join(f"zq{i}x{k}" for k in range(40))) for i in held]
+    a, b = ({r.doc_id: r.score for r in maxent.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()} for rows in (own, more))
+    assert all(abs(a[i] - b[i]) < 1e-6 for i in learned)
+
+
 def test_texts_as_word_numbers():
     texts = ["B a\x0bA  b\x1cc ", None, "", " \t", "\u00c4 \u00e4\u00a0x", "z " * 70_000]
     lot, codes, sizes = maxent.split_texts(pa.array(texts))
