@@ -43,21 +43,20 @@ def station_months(weather: DataFrame, spill: int = 0) -> DataFrame:
 
 
 def _in_month_box(stations: DataFrame, fires: DataFrame, buffer: float) -> DataFrame:
-    """Station months inside the buffered box of that month's fires."""
+    """Station months inside the buffered box of that month's fires, stored."""
     dated = fires.withColumn("_month", F.trunc("acq_date", "month"))
     boxes = bounding_box(dated, buffer, ["_month"])  # one row per calendar month
-    return (
+    return written(
         stations.join(F.broadcast(boxes), "_month")
         .where(F.col("p_lat").between(F.col("lat_lo"), F.col("lat_hi"))
                & F.col("p_lon").between(F.col("lon_lo"), F.col("lon_hi")))
-        .drop("lat_lo", "lat_hi", "lon_lo", "lon_hi")
-    )
+        .drop("lat_lo", "lat_hi", "lon_lo", "lon_hi"), "boxed-stations")
 
 
 def _asked(fires: DataFrame) -> DataFrame:
-    """Distinct places and days of the fires, with the month and the day's bit."""
-    return fires.select(*POSITION_DAY).distinct().withColumn("_month", F.trunc("acq_date", "month")).withColumn(
-        "_at", F.datediff("acq_date", "_month") + BEFORE)
+    """Distinct places and days of the fires, with the month and the day's bit, stored."""
+    return written(fires.select(*POSITION_DAY).distinct().withColumn("_month", F.trunc("acq_date", "month")).withColumn(
+        "_at", F.datediff("acq_date", "_month") + BEFORE), "asked-days")
 
 
 def _same_day(fires: DataFrame, stations: DataFrame, buffer: float) -> DataFrame:
@@ -73,7 +72,7 @@ def _same_day(fires: DataFrame, stations: DataFrame, buffer: float) -> DataFrame
     asked = _asked(fires).withColumns({"_year": F.year("_month"), "_want": month})
     near = nearest_point(
         asked, boxed.withColumns({"_year": F.year("_month"), "_has": month}), ["_year"], want="_want", has="_has")
-    found = asked.join(near, ["_year", "latitude", "longitude", "_want"]).join(boxed, ["p_lat", "p_lon", "_month"])
+    found = asked.join(near.hint("merge"), ["_year", "latitude", "longitude", "_want"]).join(boxed.hint("merge"), ["p_lat", "p_lon", "_month"])
     hit = F.col("_days").bitwiseAND(_bit(F.col("_at"))) != 0
     return found.select(
         *POSITION_DAY, "p_lat", "p_lon", "distance_km", F.when(hit, F.col("acq_date")).alias("p_date"),
@@ -88,7 +87,7 @@ def _near_in_time(asked_fires: DataFrame, all_fires: DataFrame, stations: DataFr
         "_want", _bits(F.greatest(F.lit(0), at - days), F.least(F.lit(last), at + days)))
     boxed = _in_month_box(stations, all_fires, buffer)
     near = nearest_point(asked, boxed, ["_month"], want="_want", has="_days")
-    found = asked.join(near, ["_month", "latitude", "longitude", "_want"]).join(boxed, ["p_lat", "p_lon", "_month"])
+    found = asked.join(near.hint("merge"), ["_month", "latitude", "longitude", "_want"]).join(boxed.hint("merge"), ["p_lat", "p_lon", "_month"])
     there = F.filter(
         F.sequence(F.greatest(-at, F.lit(-days)), F.least(F.lit(last) - at, F.lit(days))),
         lambda k: F.col("_days").bitwiseAND(_bit(F.col("_at") + k)) != 0)
@@ -102,15 +101,16 @@ def _with_weather(fires: DataFrame, chosen: DataFrame, weather: DataFrame, how:
     """Fires with the weather row of the station and day chosen for their place and day.
 
     Of several rows of a station and day the least one counts, so a fire is never doubled.
-    Only rows that some fire asks for are aggregated.
+    Only rows that some fire asks for are aggregated. Stored tables are small on disk and large
+    in memory, so none is sent whole through the driver.
     """
     measures = [c for c in weather.columns if c not in ("latitude", "longitude", "date")]
     place = ["p_lat", "p_lon", "p_date"]
     rows = weather.select(
         F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"), F.col("date").alias("p_date"),
         F.struct(F.lit(0).alias("_any"), *measures).alias("_w"))
-    least = rows.join(chosen.select(*place), place, "left_semi").groupBy(*place).agg(F.min("_w").alias("_w"))
-    found = chosen.join(least, place).alias("c")
+    least = rows.join(chosen.select(*place).hint("merge"), place, "left_semi").groupBy(*place).agg(F.min("_w").alias("_w"))
+    found = chosen.join(least.hint("merge"), place).hint("merge").alias("c")
     same = (F.col("f.latitude") == F.col("c.latitude")) & (F.col("f.longitude") == F.col("c.longitude")) & (
         F.col("f.acq_date") == F.col("c.acq_date"))
     return fires.alias("f").join(found, same, how).select(
@@ -130,7 +130,7 @@ def nearest_station(
     station has no row that day is a miss: dropped, or kept with NULLs.
     """
     stations = written(station_months(weather), "station-months")
-    chosen = _same_day(fires, stations, buffer).where(F.col("p_date").isNotNull())
+    chosen = written(_same_day(fires, stations, buffer).where(F.col("p_date").isNotNull()), "choice")
     return _with_weather(fires, chosen, weather, "left" if keep_misses else "inner")
 
 
@@ -145,7 +145,8 @@ def temporal_fallback(
     Fires without any row are dropped. ``cross_month`` allows at most 16 days.
     """
     stations = written(station_months(weather, days if cross_month else 0), "station-months")
-    chosen = _near_in_time(misses, misses if all_fires is None else all_fires, stations, days, buffer)
+    misses = written(misses, "misses")
+    chosen = written(_near_in_time(misses, misses if all_fires is None else all_fires, stations, days, buffer), "choice")
     return _with_weather(misses, chosen, weather)
 
 
@@ -163,7 +164,7 @@ def merge_fire_weather(
     first = written(_same_day(fires, stations, buffer), "first-choice")
     hits = first.where(F.col("p_date").isNotNull())
     places = fires.select(*POSITION_DAY).distinct()
-    misses = places.join(hits.select(*POSITION_DAY), POSITION_DAY, "left_anti")
+    misses = places.join(hits.select(*POSITION_DAY).hint("merge"), POSITION_DAY, "left_anti")
     chosen = written(hits.unionByName(_near_in_time(misses, fires, stations, days, buffer)), "choice")
     out = _with_weather(fires, chosen, weather)
     if not overwrite:

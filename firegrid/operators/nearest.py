@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firegrid.functions.spatial import EARTH_KM, haversine_km
+from firegrid.session import written
 
 FINEST = 20  # 0.00034 degrees, about 38 m
 POLAR = 88.0
@@ -65,22 +66,25 @@ def nearest_point(
     the points: then the result has one row for each distinct (position, want), with the
     nearest point whose mask shares a bit, and none where no point does. A position may
     have a few dozen different masks; they ride in one row while the cells are joined.
+    Positions, occupied cells and the cells left are stored in the shared folder, so that no
+    plan holds more than one of the steps above. All joins are merge joins: a stored table is
+    small on disk and large as a hash table, which the driver would have to build.
     """
     mask = F.col(want) if want else F.lit(1)
-    q = queries.select(*by, q_lat, q_lon, mask.cast("long").alias("_want")).groupBy(
-        *by, q_lat, q_lon).agg(F.collect_set("_want").alias("_wants"))
+    q = written(queries.select(*by, q_lat, q_lon, mask.cast("long").alias("_want")).groupBy(
+        *by, q_lat, q_lon).agg(F.collect_set("_want").alias("_wants")), "nearest-queries")
     bits = F.col(has) if has else F.lit(1)
-    p = points.select(*by, p_lat, p_lon, bits.cast("long").alias("_has")).groupBy(
-        *by, p_lat, p_lon).agg(F.bit_or("_has").alias("_has"))
+    p = written(points.select(*by, p_lat, p_lon, bits.cast("long").alias("_has")).groupBy(
+        *by, p_lat, p_lon).agg(F.bit_or("_has").alias("_has")), "nearest-points")
     p_cells = _at_all_levels(p, p_lat, p_lon, finest)
     cell_keys = [*by, "_level", "_cy", "_cx"]
     query_keys = [*by, q_lat, q_lon, "_want"]
     fits = F.col("_has").bitwiseAND(F.col("_want")) != 0
 
     # 1. some fitting point in the finest shared cell: its diagonal bounds the search
-    occupied = p_cells.groupBy(*cell_keys).agg(F.bit_or("_has").alias("_has"))
+    occupied = written(p_cells.groupBy(*cell_keys).agg(F.bit_or("_has").alias("_has")), "nearest-cells")
     seen = (
-        _at_all_levels(q, q_lat, q_lon, finest).join(occupied, cell_keys, "left")
+        _at_all_levels(q, q_lat, q_lon, finest).join(occupied.hint("merge"), cell_keys, "left")
         .groupBy(*by, q_lat, q_lon)
         .agg(F.collect_list(F.struct("_level", "_has")).alias("_seen"), F.any_value("_wants").alias("_wants")))
     bound = seen.withColumn("_want", F.explode("_wants")).withColumn("_level", F.array_max(F.transform(
@@ -130,14 +134,14 @@ def nearest_point(
         (F.col("_sx") + 0.5) * part_side - 180.0)
     slack = KM_PER_DEGREE * math.sqrt(0.5) * 1.000001 * part_side + 1e-4
     per_query = Window.partitionBy(*query_keys)  # at most 256 parts of a few cells
-    left = (
-        searched.join(parts, cell_keys).where(fits).withColumn("_km", centre)
+    left = written(
+        searched.join(parts.hint("merge"), cell_keys).where(fits).withColumn("_km", centre)
         .withColumn("_best", F.min(F.col("_km") + slack).over(per_query))
         .where(F.col("_km") - slack <= F.col("_best"))
-        .select(*query_keys, F.col("_sub").alias("_level"), F.col("_sy").alias("_cy"), F.col("_sx").alias("_cx")))
+        .select(*query_keys, F.col("_sub").alias("_level"), F.col("_sy").alias("_cy"), F.col("_sx").alias("_cx")), "nearest-parts")
 
     # 4. the points themselves
-    pairs = left.join(p_cells, cell_keys).where(fits)
+    pairs = left.join(p_cells.hint("merge"), cell_keys).where(fits)
     km = haversine_km(F.col(q_lat), F.col(q_lon), F.col(p_lat), F.col(p_lon))
     best = pairs.groupBy(*query_keys).agg(
         F.min(F.struct(F.round(km, decimals).alias("km"), F.col(p_lat), F.col(p_lon))).alias("_b"))

@@ -131,3 +131,11 @@ def test_weather_rows_are_shuffled_once(spark):
     )._jdf.queryExecution().executedPlan().toString()
     # one exchange of the view's own grouping, one of the join
     assert len(re.findall(r"FileScan parquet \[[^\]]*l_suppkey", plan)) == 1
+
+
+def test_merge_sends_no_growing_table_through_the_driver(spark):
+    fires = spark.sql("SELECT id AS fire_key, 34.0 + id % 7 / 10e0 AS latitude, -118.0D AS longitude, DATE'2020-05-03' AS acq_date FROM range(40)")
+    weather = spark.sql("SELECT 34.0 + id % 5 / 10e0 AS latitude, -118.0D AS longitude, DATE'2020-05-03' + CAST(id % 2 AS INT) AS date, 1e0 AS tmax FROM range(40)")
+    out = j.merge_fire_weather(fires, weather)
+    assert out.count() == 40
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
