@@ -7,31 +7,51 @@ a request holds at most ``days`` rows, so its windows are small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firegrid.functions.calendar import cycle
 from firegrid.functions.scalar import bin_right_closed, flag
 
 
+def _windows(weather: DataFrame, requests: DataFrame, days: int) -> DataFrame:
+    """Rows of ``last_days`` with ``_block``, the stretch of ``days`` days that holds the request's day.
+
+    A window touches two stretches at most, so the range becomes an equi-join on (location, stretch): a day of weather is
+    repeated twice, and a request not at all.
+    """
+    def block(at: Column) -> Column:
+        return F.floor(F.unix_date(at) / days)
+    day, place = F.col("date"), ("latitude", "longitude", "date")
+    asked = requests.select("request_id", "latitude", "longitude", day.alias("_asked"), block(day).alias("_block"))
+    near = weather.withColumn("_block", F.explode(F.sequence(block(day), block(F.date_add(day, days - 1)))))
+    rows = asked.join(near, ["latitude", "longitude", "_block"]).where(day.between(F.date_sub("_asked", days - 1), F.col("_asked")))
+    return rows.select(*place, "request_id", *(c for c in weather.columns if c not in place), "_block")
+
+
 def last_days(
     weather: DataFrame, requests: DataFrame, days: int = 7,
 ) -> DataFrame:
     """Weather rows of the request's location in its last ``days`` days.
 
-    ``requests``: request_id, latitude, longitude, date. A request is repeated once per day
-    of its window, so the range becomes an equi-join on (location, day).
+    ``requests``: request_id, latitude, longitude, date.
+    """
+    return _windows(weather, requests, days).drop("_block")
+
+
+def serve(weather: DataFrame, requests: DataFrame, days: int = 7) -> DataFrame:
+    """``serving_features`` of the ``last_days`` of each request; a request id names one location and day.
+
+    Windows keep the partitions of the join, so no row is shuffled by request.
     """
-    r = requests.select(
-        "request_id", "latitude", "longitude",
-        F.explode(F.sequence(F.date_sub("date", days - 1), F.col("date"))).alias("date"))
-    return r.join(weather, ["latitude", "longitude", "date"])
+    return serving_features(_windows(weather, requests, days), ("latitude", "longitude", "_block")).drop("_block")
 
 
-def serving_features(rows: DataFrame) -> DataFrame:
-    """One row per request, for its last day."""
-    every = Window.partitionBy("request_id")
-    so_far = every.orderBy("date").rowsBetween(-6, 0)
+def serving_features(rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row per request, for its last day; ``within`` names columns that are equal in all rows of a request."""
+    ordered = Window.partitionBy(*within, "request_id").orderBy("date")  # one order, so one sort, for all windows
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = ordered.rowsBetween(-6, 0)
     t, v, p = F.col("tmax"), F.col("vbdmax"), F.col("ppt")
     hot, dry = flag(t > 30.0), flag(p < 1.0)
     df = rows.withColumns({

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firegrid.session import DEFAULTS
+
 # Own ten-point outline (lon, lat); the last point connects to the first.
 OUTLINE = [
     (-124.303, 42.013), (-120.003, 42.013), (-120.003, 39.007), (-114.607, 35.003), (-114.607, 32.713),
@@ -59,6 +61,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         spark.conf.set("spark.sql.session.timeZone", "UTC")  # days are UTC days
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", DEFAULTS["spark.sql.codegen.hugeMethodLimit"])
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

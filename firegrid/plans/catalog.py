@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firegrid.plans.adapters import SQL, Tables
@@ -41,14 +41,22 @@ def _split(columns: str) -> list[tuple[str, str]]:
     return [tuple((c.split(":") + [""])[:2]) for c in columns.split()]
 
 
+def six_places(x: Column) -> Column:
+    """``round(x, 6)`` of a double. Spark rounds the decimal text of every value; that is left to values near a half, large ones and non-numbers."""
+    scaled = x * 1e6
+    down = F.floor(scaled)
+    plain = (F.abs(scaled) < 1e12) & (F.abs(scaled - down - 0.5) > 1e-3)
+    return F.when(plain, F.floor(scaled + 0.5) / F.lit(1e6)).otherwise(F.round(x, 6))
+
+
 def shape(df: DataFrame, columns: str) -> DataFrame:
     out = []
     for name, kind in _split(columns):
         c = F.col(name)
         if kind == "r":
-            c = F.round(c.cast("double"), 6) + 0.0
+            c = six_places(c.cast("double")) + 0.0
         elif kind == "a":
-            c = F.round(c.cast("double") + 1e-9, 6) + 0.0
+            c = six_places(c.cast("double") + 1e-9) + 0.0
         elif kind == "i":
             c = c.cast("long")
         elif kind == "d":

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from firegrid.operators import weather as w
-from firegrid.operators.serving import last_days, serving_features
+from firegrid.operators.serving import serve
 from firegrid.plans import sqltext as q
 from firegrid.plans.catalog import query
 from firegrid.plans.q_scalars import scaled_sql
@@ -157,4 +157,4 @@ def _(t):
     requests = weather.select(
         F.concat_ws("|", F.col("station").cast("string"), F.col("date").cast("string")).alias("request_id"),
         "latitude", "longitude", "date")
-    return serving_features(last_days(weather, requests))
+    return serve(weather, requests)

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # The JVM interprets methods above this size; a stage with one (dozens of columns) is better run without fused code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Dynamic overwrite lets a re-run replace only the partitions it produced.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

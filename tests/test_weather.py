@@ -169,3 +169,33 @@ def test_location_key_parts_locations_like_the_coordinates(spark):
     df = with_location_key(spark.createDataFrame(rows * 2, "longitude double, latitude double"))
     by = df.groupBy("longitude", "latitude").agg(F.count_distinct("location_key").alias("keys"), F.first("location_key").alias("key")).collect()
     assert len(by) == 9 and all(r["keys"] == 1 for r in by) and len({r["key"] for r in by}) == 9
+
+
+def test_requests_meet_their_days_by_stretches(spark):
+    from firegrid.operators.serving import serve
+    rng, first = np.random.default_rng(3), dt.date(1969, 12, 1)
+    days = [(float(lat), -0.0 if lat else 0.0, first + dt.timedelta(int(d)), float(rng.integers(20, 40)), float(rng.integers(0, 5)), float(rng.integers(0, 9)))
+            for lat in range(3) for d in np.flatnonzero(rng.random(60) < 0.4)]
+    days.append((1.0, -0.0, None, 1.0, 1.0, 1.0))
+    weather = spark.createDataFrame(days, "latitude double, longitude double, date date, tmax double, vbdmax double, ppt double")
+    req = [(f"{lat}|{d}", lat, 0.0, first + dt.timedelta(d)) for lat in (0.0, 1.0, 2.0, 7.0, None) for d in range(-3, 70)] + [("x", 1.0, 0.0, None)]
+    requests = spark.createDataFrame(req, "request_id string, latitude double, longitude double, date date")
+    asked = requests.select("request_id", "latitude", "longitude", F.explode(F.sequence(F.date_sub("date", 6), F.col("date"))).alias("date"))
+    plain = asked.join(weather, ["latitude", "longitude", "date"])
+    got, served = last_days(weather, requests), serve(weather, requests)
+    key = lambda r: (r.request_id, str(r.date))
+    assert got.columns == plain.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    want = serving_features(plain)
+    assert served.columns == want.columns and sorted(served.collect(), key=key) == sorted(want.collect(), key=key)
+    plan = served._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in x and "request_id" in x for x in plan.splitlines())
+
+
+def test_six_places_is_round(spark):
+    from firegrid.plans.catalog import six_places
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=20000), rng.normal(size=2000) * 1e9, rng.integers(-9999, 9999, 5000) / 1e4 + 5e-7, rng.integers(-99, 99, 500) / 2e6,
+                        rng.integers(-10**9, 10**9, 5000) * 1e-7, [0.0, -0.0, -1e-9, 1e300, -1e300, np.inf, -np.inf, 5e-324]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+    both = df.select(six_places(F.col("x")).alias("a"), F.round("x", 6).alias("b"))
+    assert both.where("NOT a <=> b").count() == 0
