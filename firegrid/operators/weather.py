@@ -160,18 +160,27 @@ def vpd_risk(df: DataFrame, vpd: str = "vbdmax", base: DataFrame | None = None)
     """
     if not {vpd, *LOC} <= set(df.columns):
         return df.withColumn("vpd_risk_category", F.lit(1))
+    return _risk(_ranked(df, vpd), _rank_edges(df if base is None else base, vpd))
+
+
+def _ranked(df: DataFrame, vpd: str = "vbdmax") -> DataFrame:
+    """Add ``_share``, the rank share within the location."""
     w = Window.partitionBy(*location_bin(df))
     order = w.orderBy(F.col(vpd).isNull(), F.col(vpd), F.col("date"))
     share = F.when(
         F.col(vpd).isNotNull(), F.row_number().over(order) / F.count(vpd).over(w))
-    ranked = df.withColumn("_share", share)
-    edges = _rank_edges(df if base is None else base, vpd)  # one row per bin of calendar days
+    return df.withColumn("_share", share)
+
+
+def _risk(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """The class of ``_share``, which it replaces; ``edges`` has one row per bin of calendar days."""
     joined = ranked.join(F.broadcast(edges), "date_bin", "left")
     s, e = F.col("_share"), F.col("edges")
     category = (
         F.when(s.isNull(), None).when(s <= e[0], 1).when(s <= e[1], 2)
         .when(s <= e[2], 3).when(s <= e[3], 4).otherwise(5))
-    return joined.withColumn("vpd_risk_category", category).select(*df.columns, "vpd_risk_category")
+    kept = [c for c in ranked.columns if c != "_share"]
+    return joined.withColumn("vpd_risk_category", category).select(*kept, "vpd_risk_category")
 
 
 def temporal_features(df: DataFrame, date: str = "date") -> DataFrame:
@@ -272,13 +281,17 @@ def engineer_features(df: DataFrame, opts: Features = Features()) -> DataFrame:
     have = set(df.columns)
     span = None if "date_bin" in have else date_span(df)
     base = out = df if span is None else bin_starts(df, span, opts.chunk_days)
+    risk = opts.vpd and "vbdmax" in have
+    ranks = risk and {*LOC[:2], "date"} <= have
+    if ranks:  # the one window in another order goes first, while rows are narrow; all others then share one sort by date
+        out = _ranked(out)
     if opts.hot_dry and {"tmax", "ppt"} <= have:
         out = hot_dry_index(out, opts.hot_above, opts.dry_below)
     if opts.spi and "ppt" in have:
         out = spi(out, opts.lookback)
-    if opts.vpd and "vbdmax" in have:
+    if risk:
         out = vpd_extremes(out, opts.extreme_percentile)
-        out = vpd_risk(out, base=base)
+        out = _risk(out, _rank_edges(base, "vbdmax")) if ranks else vpd_risk(out, base=base)
     if opts.temporal:
         out = temporal_features(out)
     if opts.rolling:

@@ -191,6 +191,13 @@ def test_requests_meet_their_days_by_stretches(spark):
     assert not any("Exchange" in x and "request_id" in x for x in plan.splitlines())
 
 
+def test_feature_windows_sort_twice(spark, pdf):
+    opts = w.Features(scaled=False)
+    plan = w.engineer_features(spark.createDataFrame(pdf), opts)._jdf.queryExecution().executedPlan().toString()
+    windows = plan[plan.index("Window"):]
+    assert sum("Sort [" in x for x in windows.splitlines()) == 2
+
+
 def test_six_places_is_round(spark):
     from firegrid.plans.catalog import six_places
     rng = np.random.default_rng(5)
