@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,20 @@ def cut(texts: list, limit: int, overlap: int) -> Iterator[tuple[int, object, bo
             yield i, t[at:at + limit + overlap], at == 0, at + limit + overlap >= len(t)
 
 
+def forgetting(task, forget):
+    """The mapper ``task``, which at its end calls ``forget`` and gives unused memory back: a Python worker lives on beside later stages.
+
+    ``forget`` is a function of a module, so that it reaches the module's own cache in the worker.
+    """
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            forget()
+            pa.default_memory_pool().release_unused()
+    return run
+
+
 def records_per_batch(df: DataFrame, n: int) -> None:
     """Bound the rows that a Python worker holds at once; texts may be long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import groups, mix, records_per_batch
+from firegrid.llm.common import forgetting, groups, mix, records_per_batch
 
 WINDOW, LITERAL, SHARE, RUN = 5, 2, 0.8, 13
 BITS = 1 << 22
@@ -67,6 +67,10 @@ class Words(dict):
 KNOWN = Words()
 
 
+def forget() -> None:
+    KNOWN.clear()
+
+
 def templates(split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template ids, kinds and the text number of all words of some texts."""
     known = KNOWN
@@ -175,17 +179,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     records_per_batch(docs, 1000)
     own = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    keys = own.mapInArrow(_rows(None, None), SCHEMA).groupBy("id", "pos", "hash", "slots").agg(F.max("total").alias("total")).select(
+    keys = own.mapInArrow(forgetting(_rows(None, None), forget), SCHEMA).groupBy("id", "pos", "hash", "slots").agg(F.max("total").alias("total")).select(
         F.col("id").alias("item_id"), F.col("pos").alias("at"), "hash", F.col("slots").alias("own"), "total")
     bits = np.zeros(BITS, bool)
     bits[np.array([r[0] for r in keys.select(F.col("hash").bitwiseAND(BITS - 1).cast("int")).distinct().collect()], int)] = True  # at most BITS numbers
     # an upper bound of the mapper's words: it cuts at every white space and at \x1c-\x1f
     longest = own.select(F.max(F.size(F.split("text", r"(?U)[\s\x1c-\x1f]+")))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _rows(spark.sparkContext.broadcast(bits), int(longest)), SCHEMA).drop("total")
+        forgetting(_rows(spark.sparkContext.broadcast(bits), int(longest)), forget), SCHEMA).drop("total")
     pairs = rows.join(keys, "hash").where("(pos < 0) = (at < 0)").groupBy(F.col("id").alias("doc_id"), "item_id").agg(
         F.max("total").alias("total"), F.collect_list(F.struct("pos", "at", "slots", "own")).alias("hits"))
-    return pairs.mapInArrow(_judge, "doc_id long, item_id long, n_windows long, n_matched long, share double, longest_run long, changed_slots long")
+    return pairs.mapInArrow(forgetting(_judge, forget), "doc_id long, item_id long, n_windows long, n_matched long, share double, longest_run long, changed_slots long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import groups, mix, records_per_batch, words
+from firegrid.llm.common import forgetting, groups, mix, records_per_batch, words
 from firegrid.llm.graph import components
 from firegrid.session import written
 
@@ -50,6 +50,10 @@ class _Hashes(dict):
 _KNOWN = _Hashes()
 
 
+def forget() -> None:
+    _KNOWN.clear()
+
+
 def shingle_sets(texts: list[str | None], k: int = K):
     """The sorted distinct shingle hashes of each text."""
     known = _KNOWN
@@ -97,7 +101,7 @@ def _repeated(batches):
 
 def levels(docs: DataFrame) -> np.ndarray:
     """log2 of how many texts repeat a shingle, by slot (0: few)."""
-    counts = docs.select("text").mapInArrow(_repeated, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counts = docs.select("text").mapInArrow(forgetting(_repeated, forget), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     slots = counts.groupBy(F.col("shingle").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).agg(F.max(F.log2("n")).cast("int").alias("level")).toArrow()
     out = np.zeros(SLOTS, np.uint8)
     out[slots["slot"].to_numpy()] = slots["level"].to_numpy()
@@ -170,7 +174,7 @@ def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     text = docs.select("doc_id", "text")
     named = written(named, "pairs")  # its size is known before texts move: few pairs are broadcast
     both = named.join(text.toDF("ida", "ta"), "ida").join(text.toDF("idb", "tb"), "idb").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_overlaps, "a long, b long, inter long, whole long").groupBy("a", "b").agg(
+    return both.mapInArrow(forgetting(_overlaps, forget), "a long, b long, inter long, whole long").groupBy("a", "b").agg(
         F.max("inter").alias("inter"), F.max("whole").alias("whole"))
 
 
@@ -265,7 +269,7 @@ def link(docs: DataFrame) -> DataFrame:
     records_per_batch(docs, 1000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = spark.sparkContext.broadcast(levels(docs))
-    sketch = written(docs.mapInArrow(_sketch(table), "doc_id long, n long, sid long, bands array<long>, prefix array<long>, level array<tinyint>"), "sketch")
+    sketch = written(docs.mapInArrow(forgetting(_sketch(table), forget), "doc_id long, n long, sid long, bands array<long>, prefix array<long>, level array<tinyint>"), "sketch")
     nodes = sketch.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("id"), F.min(F.struct("n", "bands", "prefix", "level")).alias("s"))
     nodes = written(nodes.select("sid", "id", "s.*"), "nodes")
     star, links = stars(nodes, docs)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -272,3 +273,23 @@ def test_statistics_are_bound_once(spark):
     assert plan.count("translate(") <= 6
     scored = quality.classify(table, labels).where("predicted = 1")
     assert written(kept.select("doc_id"), "kept").exceptAll(scored.select("doc_id")).count() == 0 and kept.count() == scored.count()
+
+
+def test_caches_of_words_end_with_the_task():
+    from firegrid.llm import decontam, jaccard
+    from firegrid.llm.common import forgetting
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "doc_id": [1, 2], "text": ["some words that a worker would keep after its task"] * 2})
+    assert list(forgetting(jaccard._repeated, jaccard.forget)([batch])) and not jaccard._KNOWN
+    assert list(forgetting(decontam._rows(None, None), decontam.forget)([batch])) and not decontam.KNOWN
+
+
+def test_word_stages_forget(spark, monkeypatch):
+    from firegrid.llm import decontam, jaccard
+    seen = []
+    for module in (decontam, jaccard):
+        monkeypatch.setattr(module, "forgetting", lambda task, forget: seen.append(forget) or task)
+    text = "some words that a worker would keep after its task, as there are enough of them for one window of a template at least"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    jaccard.link(docs).count()
+    decontam.contaminated(docs, docs.withColumnRenamed("doc_id", "item_id")).count()
+    assert seen.count(jaccard.forget) >= 3 and seen.count(decontam.forget) >= 3
