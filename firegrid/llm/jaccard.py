@@ -8,8 +8,10 @@
 3. Index lists hold (position, size) of each star and are cut into blocks by size; a block pair whose sizes or
    positions cannot reach the threshold is skipped whole, the rest entry by entry.
 4. Centres of candidate stars are compared exactly. Answers of the other members follow from the centre's: a member x of a and a
-   member y of b share at most |a & b| + |x - a| + |y - b| shingles. Pairs for which that is too little are skipped
-   without being looked at; only what is left is compared.
+   member y of b share at most |a & b| + |x - a| + |y - b| shingles. Star pairs for which that is too little are closed.
+   In an open one the members of both are told by their differences from the centre of the larger star. A linked pair
+   shares about half of x's differences at least (see ``member_links``), so an index of a prefix of the differences finds it, and
+   the shared differences give the exact overlap: no pair of members is listed for being in two stars.
 5. Links become components.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; fewer than ``K`` words give one shingle of the whole sequence.
@@ -22,6 +24,8 @@ and the level table has ``SLOTS`` bytes at any size.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -54,28 +58,39 @@ def forget() -> None:
     _KNOWN.clear()
 
 
-def shingle_sets(texts: list[str | None], k: int = K):
-    """The sorted distinct shingle hashes of each text."""
-    known = _KNOWN
+def flat_sets(texts: list[str | None], k: int = K):
+    """The sorted distinct shingle hashes of each text, joined, and their numbers; in groups of texts."""
+    known = _KNOWN.__getitem__
     for a, z in groups([len(t or "") for t in texts], PIECE):
         split = [words(t) for t in texts[a:z]]
-        h = np.fromiter((known[w] for t in split for w in t), np.uint64, sum(map(len, split)))
+        length = np.fromiter(map(len, split), np.int64, z - a)
+        h = np.fromiter(map(known, chain.from_iterable(split)), np.uint64, length.sum())
         n = max(len(h) - k + 1, 0)
-        run = np.zeros(n, np.uint64)
+        run = np.zeros(n + 1, np.uint64)
         for i in range(k):
-            run = mix(run + h[i:i + n] + np.uint64(i + 1))
-        at = 0
-        for t in split:
-            if len(t) >= k:
-                yield np.unique(run[at:at + len(t) - k + 1])
-            elif t:
-                own = np.uint64(len(t))
-                for x in h[at:at + len(t)]:
-                    own = mix(np.array([own]) + x)[0]
-                yield np.array([own], np.uint64)
-            else:
-                yield np.empty(0, np.uint64)
-            at += len(t)
+            run[:n] = mix(run[:n] + h[i:i + n] + np.uint64(i + 1))
+        size = np.where(length >= k, length - k + 1, np.minimum(length, 1))
+        at, start = np.cumsum(length) - length, np.cumsum(size) - size
+        flat = run[np.minimum(np.arange(size.sum()) + np.repeat(at - start, size), n)]
+        for i in np.flatnonzero((length > 0) & (length < k)):
+            own = np.uint64(length[i])
+            for x in h[at[i]:at[i] + length[i]]:
+                own = mix(np.array([own]) + x)[0]
+            flat[start[i]] = own
+        for i, j in zip(start.tolist(), size.tolist()):
+            flat[i:i + j].sort()
+        new = np.ones(len(flat), bool)
+        np.not_equal(flat[1:], flat[:-1], out=new[1:])
+        new[start[size > 0]] = True
+        yield flat[new], np.bincount(np.repeat(np.arange(z - a), size)[new], minlength=z - a)
+
+
+def shingle_sets(texts: list[str | None], k: int = K):
+    """The sorted distinct shingle hashes of each text."""
+    for flat, size in flat_sets(texts, k):
+        ends = np.cumsum(size)
+        for i, j in zip((ends - size).tolist(), ends.tolist()):
+            yield flat[i:j]
 
 
 def _repeated(batches):
@@ -89,9 +104,9 @@ def _repeated(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + 100_000].view(np.int64)), pa.array(n[i:i + 100_000].astype(np.int64))], names=["shingle", "n"])
 
     for b in batches:
-        for s in shingle_sets(b.column("text").to_pylist()):
-            held.append(s)
-            size += len(s)
+        for flat, _ in flat_sets(b.column("text").to_pylist()):
+            held.append(flat)
+            size += len(flat)
             if size > CHUNK:
                 yield from flush()
                 held, size = [], 0
@@ -108,42 +123,60 @@ def levels(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _sids(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One number for each of the joined sets, none of them empty."""
+    m = mix(flat + np.uint64(0x632BE59BD9B4E019))
+    h = mix(np.add.reduceat(m, start) + size.astype(np.uint64))
+    return mix(h + np.bitwise_xor.reduceat(mix(m + np.uint64(1)), start)).view(np.int64)
+
+
 def _sid(s: np.ndarray) -> int:
-    m = mix(s + np.uint64(0x632BE59BD9B4E019))
-    h = mix(np.array([m.sum()], np.uint64) + np.uint64(len(s)))
-    return int(mix(h + np.bitwise_xor.reduce(mix(m + np.uint64(1))))[0].astype(np.int64))
+    return int(_sids(s, np.zeros(1, np.int64), np.array([len(s)]))[0])
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n):
     return n - -(-PART * n // WHOLE) + 1
 
 
+def _bands(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(sets, BANDS) hashes of ``ROWS`` minima each of the joined sets."""
+    least = np.stack([np.minimum.reduceat(flat * o, start) for o in _ODD]).reshape(BANDS, ROWS, len(start))
+    out = least[:, 0] + np.arange(0, BANDS * ROWS, ROWS, dtype=np.uint64)[:, None]
+    for i in range(1, ROWS):
+        out = mix(out) + least[:, i]
+    return mix(out).T
+
+
 def _sketch(table):
     def run(batches):
         level = table.value
         for b in batches:
-            ids, texts, out = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), [[] for _ in range(6)]
-            for doc, s in zip(ids, shingle_sets(texts)):
-                n = len(s)
-                row = (doc, n, None, [], [], [])
-                if n:
-                    lv = level[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-                    p = prefix_length(n)
-                    first = np.lexsort((s, lv))[:p]
-                    least = np.array([(s * o).min() for o in _ODD], np.uint64)
-                    bands = [int(mix(mix(mix(least[i:i + 1] + np.uint64(i)) + least[i + 1]) + least[i + 2])[0].astype(np.int64))
-                             for i in range(0, BANDS * ROWS, ROWS)] if n > 5 else []
-                    row = (doc, n, _sid(s), bands, s[first].view(np.int64), lv[first])
-                for c, v in zip(out, row):
-                    c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],
-                                             names=["doc_id", "n", "sid", "bands", "prefix", "level"])
+            ids, texts, done = b.column("doc_id"), b.column("text").to_pylist(), 0
+            for flat, size in flat_sets(texts):
+                n, full = len(size), size > 0
+                sid, bands, first = np.zeros(n, np.int64), [[]] * n, np.zeros(0, np.int64)
+                lv = level[(flat & np.uint64(SLOTS - 1)).astype(np.int64)]
+                prefix = np.where(full, prefix_length(size), 0)
+                if len(flat):
+                    start = (np.cumsum(size) - size)[full]
+                    sid[full] = _sids(flat, start, size[full])
+                    for i, row, m in zip(np.flatnonzero(full).tolist(), _bands(flat, start).view(np.int64).tolist(), size[full].tolist()):
+                        if m > 5:
+                            bands[i] = row
+                    # sets are sorted: a stable order by level is one by (level, shingle)
+                    first = np.concatenate([np.argsort(lv[i:i + m], kind="stable")[:p] + i
+                                            for i, m, p in zip(start.tolist(), size[full].tolist(), prefix[full].tolist())])
+                ends = pa.array(np.concatenate([[0], np.cumsum(prefix)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(done, n), pa.array(size, pa.int64()), pa.array(sid, mask=~full), pa.array(bands, pa.list_(pa.int64())),
+                     pa.ListArray.from_arrays(ends, pa.array(flat[first].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(lv[first].view(np.int8)))],
+                    names=["doc_id", "n", "sid", "bands", "prefix", "level"])
+                done += n
     return run
 
 
-def _overlaps(batches):
-    """Exact overlap of the two texts of a row; rows whose texts are not the named sets are left out."""
+def _named_sets():
+    """A function that gives the set ``sid`` of a text, and None if the text is another."""
     kept: dict[int, np.ndarray] = {}
 
     def get(sid, text):
@@ -155,7 +188,12 @@ def _overlaps(batches):
                 kept.clear()
             kept[sid] = s
         return kept[sid]
+    return get
+
 
+def _overlaps(batches):
+    """Exact overlap of the two texts of a row; rows whose texts are not the named sets are left out."""
+    get = _named_sets()
     for b in batches:
         out = [[], [], [], []]
         for a, z, ta, tz in zip(*(b.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
@@ -167,13 +205,32 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "inter", "whole"])
 
 
-def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b, inter, whole (sizes of intersection and union) of each pair of nodes (a, b), from the whole texts."""
+def _differences(batches):
+    """The shingles that only one of the two sets of a row has, and the size of the second; rows whose texts are not the named sets are left out."""
+    get = _named_sets()
+    for b in batches:
+        out = [[], [], [], []]
+        for a, z, ta, tz in zip(*(b.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
+            x, y = get(a, ta), get(z, tz)
+            if x is not None and y is not None:
+                for c, v in zip(out, (a, z, len(y), np.setxor1d(x, y, assume_unique=True).view(np.int64))):
+                    c.append(v)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["a", "b", "n", "apart"])
+
+
+def _with_texts(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b and a text of each (ta, tb) for pairs of nodes (a, b)."""
     ids = nodes.select("sid", "id")
     named = pairs.select("a", "b").join(ids.toDF("a", "ida"), "a").join(ids.toDF("b", "idb"), "b")
     text = docs.select("doc_id", "text")
     named = written(named, "pairs")  # its size is known before texts move: few pairs are broadcast
-    both = named.join(text.toDF("ida", "ta"), "ida").join(text.toDF("idb", "tb"), "idb").select("a", "b", "ta", "tb")
+    return named.join(text.toDF("ida", "ta"), "ida").join(text.toDF("idb", "tb"), "idb").select("a", "b", "ta", "tb")
+
+
+def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, inter, whole (sizes of intersection and union) of each pair of nodes (a, b), from the whole texts."""
+    both = _with_texts(pairs, docs, nodes)
     return both.mapInArrow(forgetting(_overlaps, forget), "a long, b long, inter long, whole long").groupBy("a", "b").agg(
         F.max("inter").alias("inter"), F.max("whole").alias("whole"))
 
@@ -250,17 +307,49 @@ def candidates(members: DataFrame) -> DataFrame:
     return within.union(across).mapInArrow(_pair_up, "a long, b long").distinct()
 
 
-def member_pairs(open_: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of members (a, b) of the stars of ``open_`` (a, b, inter) that the centres' overlap leaves open."""
-    def side(s: str, t: str) -> DataFrame:
-        m = members.select(F.col("star").alias(s), F.col("sid").alias(f"{t}_sid"), F.col("extra").alias(f"{t}_extra"), F.col("n").alias(f"{t}_n"),
-                           F.posexplode("prefix").alias(f"{t}_pos", "shingle"))
-        return open_.join(m, s)
-    x, y = side("a", "x"), side("b", "y").drop("inter")
-    return x.join(y, ["a", "b", "shingle"]).where(
-        f"{PART + WHOLE} * least(inter + x_extra + y_extra, x_n - x_pos, y_n - y_pos) >= {PART} * (x_n + y_n) "
-        f"AND {WHOLE} * x_n >= {PART} * y_n AND {WHOLE} * y_n >= {PART} * x_n AND (a <> x_sid OR b <> y_sid)").select(
-        F.col("x_sid").alias("a"), F.col("y_sid").alias("b")).distinct()
+def member_links(open_: DataFrame, star: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Linked pairs (a, b) of members of the star pairs ``open_`` (a, b, inter).
+
+    For sets x and y of sizes n with d differences from one centre c, 2 |x & y| = nx + ny - dx - dy + 2 s, s of the differences being shared. So
+    with q = (PART + WHOLE) d - (WHOLE - PART) n they link when 2 (PART + WHOLE) s >= qx + qy. Where c links with x and not with
+    y, that sum exceeds 2 PART dx: s is positive, and more than 0.45 of x's differences.
+    """
+    size = star.groupBy("star").agg(F.count(F.lit(1)).alias("c"), F.max("extra").alias("e"), F.min("n").alias("n"))
+    sides = open_.join(size.toDF("a", "ca", "ea", "na"), "a").join(size.toDF("b", "cb", "eb", "nb"), "b")
+    way = [F.struct(F.col(h).alias("hub"), F.col(f"e{h}").alias("e"), F.col(f"n{h}").alias("least"), F.col(o).alias("star"),
+                    F.col(f"e{o}").alias("far"), F.col(f"n{o}").alias("n")) for h, o in ("ab", "ba")]
+    sides = written(sides.select("inter", F.when(F.col("ca") >= F.col("cb"), way[0]).otherwise(way[1]).alias("w")).select("inter", "w.*"), "sides")
+    # members of the smaller star, and those of the larger one (the hub), as far as the bounds leave them open
+    spokes = sides.select("hub", "star", "inter", "e", "least").join(star, "star").where(
+        f"{PART + WHOLE} * (inter + extra + e) >= {PART} * (n + least)").select("hub", F.col("sid").alias("doc"), F.lit(False).alias("own"))
+    hubs = sides.groupBy(F.col("hub").alias("star")).agg(F.max(F.col("inter") + F.col("far")).alias("best"), F.min("n").alias("least"))
+    own = hubs.join(star, "star").where(f"sid <> star AND {PART + WHOLE} * (best + extra) >= {PART} * (n + least)").select(
+        F.col("star").alias("hub"), F.col("sid").alias("doc"), F.lit(True).alias("own"))
+    told = written(spokes.union(own), "told")
+    apart = _with_texts(told.select(F.col("hub").alias("a"), F.col("doc").alias("b")), docs, nodes).mapInArrow(
+        forgetting(_differences, forget), "a long, b long, n long, apart array<long>")
+    apart = apart.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("apart").alias("apart")).toDF("hub", "doc", "n", "apart")
+    q = F.expr(f"{PART + WHOLE} * size(apart) - {WHOLE - PART} * n")
+    apart = apart.withColumn("q", q).join(told, ["hub", "doc"])
+    sizes = nodes.select(F.col("sid").alias("hub"), F.col("n").alias("hub_n"))
+    apart = written(apart.join(sizes, "hub").withColumn("near", F.expr(f"q <= {WHOLE - PART} * hub_n")), "apart")
+    direct = apart.where("near AND NOT own").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    apart = apart.where("own OR NOT near")
+    entry = apart.select("hub", "own", "doc", "q", F.size("apart").alias("d"), F.explode("apart").alias("shingle"))
+    common = entry.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("times"), F.max("own").alias("x"), F.min("own").alias("y")).where("x AND NOT y")
+    least = apart.groupBy("hub").agg(F.min(F.when(F.col("own"), F.col("q"))).alias("qx"), F.min(F.when(~F.col("own"), F.col("q"))).alias("qy"))
+    # shingles that only one side has can not be shared: they are left out
+    kept = entry.join(common.select("hub", "shingle", "times"), ["hub", "shingle"]).groupBy("hub", "own", "doc", "q", "d").agg(
+        F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("order"))
+    kept = kept.join(least, "hub").withColumn("need", F.col("q") + F.when(F.col("own"), F.col("qy")).otherwise(F.col("qx")))
+    kept = kept.select("hub", "own", "doc", "q", "need", F.size("order").alias("d"), F.posexplode("order").alias("pos", "e")).where(
+        f"{2 * (PART + WHOLE)} * (d - pos) >= need")
+    x, y = (kept.where(F.col("own") == mine).select("hub", "e.shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "q", "d", "pos"))) for mine, s in ((True, "x"), (False, "y")))
+    met = x.join(y, ["hub", "shingle"]).where(f"{2 * (PART + WHOLE)} * least(d_x - pos_x, d_y - pos_y) >= q_x + q_y").select("hub", "doc_x", "doc_y").distinct()
+    of = apart.select("hub", "doc", "q", "apart")
+    both = met.join(of.toDF("hub", "doc_x", "q_x", "apart_x"), ["hub", "doc_x"]).join(of.toDF("hub", "doc_y", "q_y", "apart_y"), ["hub", "doc_y"])
+    linked = both.where(f"{2 * (PART + WHOLE)} * size(array_intersect(apart_x, apart_y)) >= q_x + q_y")
+    return written(direct.union(linked.select("doc_x", "doc_y")).distinct(), "member-links")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -282,7 +371,7 @@ def link(docs: DataFrame) -> DataFrame:
     open_ = seen.where("NOT linked").join(reach.toDF("a", "ea", "na"), "a").join(reach.toDF("b", "eb", "nb"), "b").where(
         f"ea + eb > 0 AND {PART + WHOLE} * (inter + ea + eb) >= {PART} * (na + nb)").select("a", "b", "inter")
     open_ = written(open_, "open-pairs")
-    more = compare(member_pairs(open_, members), docs, nodes).where(LINKED).select("a", "b")
+    more = member_links(open_, star, docs, nodes)
     links = links.union(seen.where("linked").select("a", "b")).union(more)
     of = star.select("sid", "star")
     edges = links.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()

@@ -293,3 +293,42 @@ def test_word_stages_forget(spark, monkeypatch):
     jaccard.link(docs).count()
     decontam.contaminated(docs, docs.withColumnRenamed("doc_id", "item_id")).count()
     assert seen.count(jaccard.forget) >= 3 and seen.count(decontam.forget) >= 3
+
+
+def test_members_of_open_stars_are_not_paired(spark, monkeypatch):
+    """Near copies of one text: those that link with it, and those that only link with some of these."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(260):
+        t = [f"w{k}" for k in range(150)]
+        for at in rng.choice(np.arange(2, 148), 2 if i < 160 else 4, replace=False):
+            t[at] = f"v{at}" if rng.random() < 0.7 else f"n{i}x{at}"
+        texts.append(" ".join(t))
+    texts.append(" ".join(f"w{k}" for k in range(150)))
+    sets = [set(s.tolist()) for s in jaccard.shingle_sets(texts)]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    rows, keep = [], jaccard.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "pairs":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    got = jaccard.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in range(len(texts))}
+    assert len({top(i) for i in range(len(texts))}) > 1
+    assert rows[-1] <= 12 * len(texts)  # members are told by their differences from a centre (1,656 pairs), not from each other (4,522)
