@@ -308,7 +308,7 @@ def candidates(members: DataFrame) -> DataFrame:
 
 
 def member_links(open_: DataFrame, star: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Linked pairs (a, b) of members of the star pairs ``open_`` (a, b, inter).
+    """(a, b): centres a and members b of other stars that link with a or a member of a's star, for the star pairs ``open_`` (a, b, inter).
 
     For sets x and y of sizes n with d differences from one centre c, 2 |x & y| = nx + ny - dx - dy + 2 s, s of the differences being shared. So
     with q = (PART + WHOLE) d - (WHOLE - PART) n they link when 2 (PART + WHOLE) s >= qx + qy. Where c links with x and not with
@@ -349,7 +349,7 @@ def member_links(open_: DataFrame, star: DataFrame, docs: DataFrame, nodes: Data
     of = apart.select("hub", "doc", "q", "apart")
     both = met.join(of.toDF("hub", "doc_x", "q_x", "apart_x"), ["hub", "doc_x"]).join(of.toDF("hub", "doc_y", "q_y", "apart_y"), ["hub", "doc_y"])
     linked = both.where(f"{2 * (PART + WHOLE)} * size(array_intersect(apart_x, apart_y)) >= q_x + q_y")
-    return written(direct.union(linked.select("doc_x", "doc_y")).distinct(), "member-links")
+    return written(direct.union(linked.select("hub", "doc_y")).distinct(), "member-links")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -368,7 +368,10 @@ def link(docs: DataFrame) -> DataFrame:
     pairs = candidates(members.select("star", "label", "n", "prefix", "level"))
     seen = written(compare(pairs, docs, nodes).withColumn("linked", F.expr(LINKED)), "centre-pairs")
     reach = star.groupBy("star").agg(F.max("extra").alias("e"), F.min("n").alias("n"))
-    open_ = seen.where("NOT linked").join(reach.toDF("a", "ea", "na"), "a").join(reach.toDF("b", "eb", "nb"), "b").where(
+    apart, wide = seen.where("NOT linked"), reach.where("e > 0")  # only stars with extra shingles leave a pair open
+    apart = apart.join(wide.select(F.col("star").alias("a")), "a", "leftsemi").union(
+        apart.join(wide.select(F.col("star").alias("b")), "b", "leftsemi").select(apart.columns)).distinct()
+    open_ = apart.join(reach.toDF("a", "ea", "na"), "a").join(reach.toDF("b", "eb", "nb"), "b").where(
         f"ea + eb > 0 AND {PART + WHOLE} * (inter + ea + eb) >= {PART} * (na + nb)").select("a", "b", "inter")
     open_ = written(open_, "open-pairs")
     more = member_links(open_, star, docs, nodes)
