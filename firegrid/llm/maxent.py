@@ -294,14 +294,14 @@ def _score(shared):
         for b in batches:
             for j in range(b.num_rows):
                 one = b.slice(j, 1)
-                found = one.column("found").flatten()
-                row = one.drop_columns(["found"]).to_pylist()[0]
+                i, n = (one.column(c).flatten().to_numpy() for c in ("i", "c"))
+                row = one.drop_columns(["i", "c"]).to_pylist()[0]
                 hashes, codes = np.frombuffer(row["hashes"], np.uint64), unpack(row["codes"])
                 kinds, parts = kinds_of(hashes, np.frombuffer(row["spell"], np.uint8), heads), part_of(hashes)
                 texts = len(row["sizes"])
                 doc = np.repeat(np.arange(texts), row["sizes"])
                 c = np.zeros(len(hashes))
-                c[found.field("i").to_numpy()] = found.field("c").to_numpy()
+                c[i] = n
                 base = np.log10((c + ADD) / bottom)
                 inside = np.where(kinds > HEADS, np.log10((c + ADD) / (n_part[kinds, parts] + ADD * (v_part[kinds, parts] + 1))), 0)
                 score = np.bincount(doc, weights=inside[codes], minlength=texts)
@@ -341,6 +341,7 @@ def score(docs: DataFrame) -> DataFrame:
     weights = train(coded, heads)
     shared = sc.broadcast((heads, weights, total["n"], total["v"], n_part, v_part))
     entries = coded.select("id", "hashes").mapInArrow(_entries, "id long, i int, word long")
-    found = entries.join(counts.select("word", "c"), "word").groupBy("id").agg(F.collect_list(F.struct("i", "c")).alias("found"))  # the words of one batch
-    rows = coded.drop("counts").join(found, "id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<i:int,c:bigint>>")))
+    found = entries.join(counts.select("word", "c"), "word").groupBy("id").agg(F.collect_list("i").alias("i"), F.collect_list("c").alias("c"))  # the words of one batch, both lists in one order
+    rows = coded.drop("counts").join(found, "id", "left").withColumns(
+        {"i": F.coalesce("i", F.array().cast("array<int>")), "c": F.coalesce("c", F.array().cast("array<bigint>"))})
     return rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

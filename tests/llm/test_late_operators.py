@@ -332,3 +332,11 @@ def test_members_of_open_stars_are_not_paired(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in range(len(texts))}
     assert len({top(i) for i in range(len(texts))}) > 1
     assert rows[-1] <= 12 * len(texts)  # members are told by their differences from a centre (1,656 pairs), not from each other (4,522)
+
+
+def test_words_of_a_batch_travel_as_plain_lists(spark):
+    from firegrid.llm import maxent
+    got = maxent.score(spark.createDataFrame([(i, "some words to learn " * i) for i in range(1, 30)], "doc_id long, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(i#" in plan and "struct(i" not in plan
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: 4 * i + 1 for i in range(1, 30)}
