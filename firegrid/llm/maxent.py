@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import fold, groups, mix, slices
+from firegrid.llm.common import fold, forgetting, groups, mix, slices
 from firegrid.session import written
 
 HEADS, SPELLINGS, PARTS, BUCKETS, FEATURES = 15, 16, 32, 1 << 15, 4
@@ -109,6 +109,10 @@ def split_texts(text: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [lot[i] for i in order], rank[codes], np.bincount(doc, minlength=len(text)) + 1
 
 
+def forget() -> None:
+    """No cache outlives a task; ``forgetting`` then only gives Arrow's unused memory back."""
+
+
 def pack(codes: np.ndarray) -> bytes:
     """Word numbers as four planes of bytes; the upper ones are mostly zero."""
     return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -276,7 +280,7 @@ def train(coded: DataFrame, heads: list[int]) -> np.ndarray:
     for turn in range(ROUNDS):
         shared = sc.broadcast((heads, weights))
         kind = "block int, seen long, gain binary"
-        steps = coded.select("held", "doc_ids", "sizes", "hashes", "spell", "codes").mapInArrow(_train(shared, turn), "block int, salt int, seen long, gain binary")
+        steps = coded.select("held", "doc_ids", "sizes", "hashes", "spell", "codes").mapInArrow(forgetting(_train(shared, turn), forget), "block int, salt int, seen long, gain binary")
         means = steps.groupBy("block", "salt").applyInPandas(_averaged, kind).groupBy("block").applyInPandas(_averaged, kind)
         for r in means.collect():  # 2 x BUCKETS x CLASSES weights
             at = slice(r["block"] * GRID, (r["block"] + 1) * GRID)
@@ -326,7 +330,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 10) == 0).alias("held"), F.col("text").cast("string").alias("text"))
-    coded = written(rows.mapInArrow(_encode, CODED), "coded-texts")
+    coded = written(rows.mapInArrow(forgetting(_encode, forget), CODED), "coded-texts")
     tallies = coded.select("hashes", "spell", "counts").mapInArrow(_training_counts, "word long, spell int, n long")
     counts = written(tallies.groupBy("word").agg(F.sum("n").alias("c"), F.max("spell").alias("spell")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
