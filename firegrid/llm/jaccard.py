@@ -12,7 +12,9 @@
    In an open one the members of both are told by their differences from the centre of the larger star. A linked pair
    shares about half of x's differences at least (see ``member_links``), so an index of a prefix of the differences finds it, and
    the shared differences give the exact overlap: no pair of members is listed for being in two stars.
-5. Links become components.
+5. Many stars can be near without a link, as copies of one text with edits of their own. ``CLOUD`` stars or more around one hub are a cloud:
+   pairs inside it are not listed as candidates, they are found like those of 4, by the differences of all its nodes from the hub.
+6. Links become components.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; fewer than ``K`` words give one shingle of the whole sequence.
 Repeated rows are equal sets. Rows with a null id count as documents, but the component's id is its least non-null id (null if none).
@@ -40,6 +42,7 @@ K, PART, WHOLE = 4, 85, 100  # a link: WHOLE * |intersection| >= PART * |union|
 SLOTS, COMMON, CHUNK, PIECE = 1 << 21, 4, 1 << 22, 1 << 20
 BANDS, ROWS, HEADS = 4, 3, 3
 LIST = 128
+NEAR, CLOUD, STEPS = 70, 16, 3  # near: WHOLE * |intersection| >= NEAR * |union|
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) & 0xFFFFFFFFFFFFFFFF | 1) for i in range(BANDS * ROWS)]
 
 
@@ -238,15 +241,27 @@ def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 LINKED = f"{WHOLE} * inter >= {PART} * whole"
 
 
+def hubs(near: DataFrame) -> DataFrame:
+    """star, hub: for the nodes of the pairs ``near`` (a, b), the node with most near ones within ``STEPS`` steps."""
+    both = near.select("a", "b").union(near.select("b", "a"))
+    best = both.groupBy("a").agg(F.struct(F.count(F.lit(1)).alias("near"), (-F.col("a")).alias("id")).alias("best"))
+    both = both.union(best.select("a", F.col("a").alias("b")))
+    for _ in range(STEPS):
+        best = both.join(best.toDF("b", "best"), "b").groupBy("a").agg(F.max("best").alias("best"))
+    return best.select(F.col("a").alias("star"), (-F.col("best.id")).alias("hub"))
+
+
 def stars(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sid, star, extra) of every node, extra the number of its shingles that the star's centre lacks; and the linked pairs (a, b) found on the way."""
+    """(sid, star, extra, n, hub) of every node, extra the number of its shingles that the star's centre lacks; and the linked pairs (a, b) found on the way."""
     banded = nodes.select("sid", F.posexplode("bands").alias("k", "band"))
     heads = banded.groupBy("k", "band").agg(
         F.count(F.lit(1)).alias("c"), F.array(F.min("sid"), *(F.min_by("sid", F.xxhash64(F.lit(i), "sid")) for i in range(1, HEADS))).alias("heads"))
     heads = heads.where("c > 1").select("k", "band", F.explode(F.array_distinct("heads")).alias("head"))
     pairs = banded.join(heads, ["k", "band"]).where("sid <> head").select(
         F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b")).distinct()
-    seen = written(compare(pairs, docs, nodes).where(LINKED).select("a", "b", "inter"), "near")
+    near = compare(pairs, docs, nodes).where(f"{WHOLE} * inter >= {NEAR} * whole").select("a", "b", "inter", F.expr(LINKED).alias("linked"))
+    near = written(near, "near")
+    seen = near.where("linked").drop("linked")
     both = seen.union(seen.select("b", "a", "inter"))
     # a centre has more links than every node it is linked with; the smaller id wins a tie
     rank = both.groupBy("a").agg(F.struct(F.count(F.lit(1)).alias("links"), (-F.col("a")).alias("id")).alias("rank"))
@@ -257,7 +272,7 @@ def stars(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("a").alias("sid"), "m.b", "m.inter")
     out = nodes.select("sid", "n").join(first, "sid", "left").select(
         "sid", F.coalesce("b", "sid").alias("star"), (F.col("n") - F.coalesce("inter", "n")).alias("extra"), "n")
-    return written(out, "stars"), seen.select("a", "b")
+    return written(out.join(hubs(near), "star", "left").select(*out.columns, "hub"), "stars"), seen.select("a", "b")
 
 
 def _pair_up(batches):
@@ -271,11 +286,12 @@ def _pair_up(batches):
 
     for b in batches:
         for left, right in zip(b.column("left").to_pylist(), b.column("right").to_pylist()):
-            l, r = ({k: np.array([e[k] for e in x]) for k in ("star", "label", "pos", "lo", "hi")} for x in (left, right or left))
+            l, r = ({k: np.array([e[k] for e in x]) for k in ("star", "label", "cloud", "pos", "lo", "hi")} for x in (left, right or left))
             ok = (WHOLE * r["hi"][None, :] >= PART * l["lo"][:, None]) & (WHOLE * l["hi"][:, None] >= PART * r["lo"][None, :])
             need = PART * (l["lo"][:, None] + r["lo"][None, :])  # (PART + WHOLE) times the least overlap
             ok &= (PART + WHOLE) * np.minimum((l["hi"] - l["pos"])[:, None], (r["hi"] - r["pos"])[None, :]) >= need
             ok &= l["label"][:, None] < r["label"][None, :] if right is None else l["label"][:, None] != r["label"][None, :]
+            ok &= (l["cloud"][:, None] != r["cloud"][None, :]) | (l["cloud"] == 0)[:, None]
             i, j = np.nonzero(ok)
             x, y = l["star"][i], r["star"][j]
             found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
@@ -285,14 +301,16 @@ def _pair_up(batches):
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """a < b: stars of different labels of which some members' prefixes share a shingle."""
-    entry = members.select("star", "label", "n", F.posexplode(F.arrays_zip("prefix", "level")).alias("pos", "e"))
+    """a < b: stars of different labels, and not of one cloud (0: none), of which some members' prefixes share a shingle."""
+    if "cloud" not in members.columns:
+        members = members.withColumn("cloud", F.lit(0).cast("long"))
+    entry = members.select("star", "label", "cloud", "n", F.posexplode(F.arrays_zip("prefix", "level")).alias("pos", "e"))
     split = F.when(F.col("e.level") > 7, F.pow(F.lit(2.0), F.col("e.level") - 7)).otherwise(1).cast("int")  # LIST = 2 ** 7
-    entry = entry.select(F.col("e.prefix").alias("shingle"), split.alias("split"), "star", "label", F.col("n").alias("lo"), F.col("n").alias("hi"), "pos")
-    item = F.array_sort(F.collect_list(F.struct("pos", "lo", "hi", "star", "label"))).alias("list")
-    several = "array_min(list.label) < array_max(list.label)"
+    entry = entry.select(F.col("e.prefix").alias("shingle"), split.alias("split"), "star", "label", "cloud", F.col("n").alias("lo"), F.col("n").alias("hi"), "pos")
+    item = F.array_sort(F.collect_list(F.struct("pos", "lo", "hi", "star", "label", "cloud"))).alias("list")
+    several = "array_min(list.label) < array_max(list.label) AND (array_min(list.cloud) < array_max(list.cloud) OR array_min(list.cloud) = 0)"
     short = entry.where("split = 1").groupBy("shingle").agg(item).where(several)
-    per_star = entry.where("split > 1").groupBy("shingle", "split", "star", "label").agg(F.min("pos").alias("pos"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    per_star = entry.where("split > 1").groupBy("shingle", "split", "star", "label", "cloud").agg(F.min("pos").alias("pos"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     block = F.floor(F.log("lo") / float(np.log(WHOLE / PART))) * 100_000 + F.pmod(F.xxhash64("star"), "split")
     lists = per_star.groupBy("shingle", block.cast("long").alias("block")).agg(item)
     long = written(lists.select("shingle", "block", "list", F.array_min("list.lo").alias("lo"), F.array_max("list.hi").alias("hi"),
@@ -301,55 +319,64 @@ def candidates(members: DataFrame) -> DataFrame:
         F.col("list").alias("left"), F.lit(None).cast(short.schema["list"].dataType).alias("right"))
     l, r = (long.toDF("shingle", *(f"{s}_{c}" for c in ("block", "list", "lo", "hi", "rest"))) for s in "lr")
     across = l.join(r, "shingle").where(
-        f"l_block < r_block AND (array_min(l_list.label) < array_max(r_list.label) OR array_min(r_list.label) < array_max(l_list.label)) AND {WHOLE} * r_hi >= {PART} * l_lo AND {WHOLE} * l_hi >= {PART} * r_lo "
+        f"l_block < r_block AND (array_min(l_list.label) < array_max(r_list.label) OR array_min(r_list.label) < array_max(l_list.label)) "
+        "AND (array_min(l_list.cloud) < array_max(r_list.cloud) OR array_min(r_list.cloud) < array_max(l_list.cloud) OR array_min(l_list.cloud) = 0) "
+        f"AND {WHOLE} * r_hi >= {PART} * l_lo AND {WHOLE} * l_hi >= {PART} * r_lo "
         f"AND {PART + WHOLE} * least(l_rest, r_rest) >= {PART} * (l_lo + r_lo)").select(
         F.col("l_list").alias("left"), F.col("r_list").alias("right"))
     return within.union(across).mapInArrow(_pair_up, "a long, b long").distinct()
 
 
 def member_links(open_: DataFrame, star: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): centres a and members b of other stars that link with a or a member of a's star, for the star pairs ``open_`` (a, b, inter).
+    """(a, b): links that show in the differences from a hub: for the star pairs ``open_`` (a, b, inter), of centres a and members b of other stars
+    that link with a or a member of a's star; for clouds, of the hub or a node with another node.
 
-    For sets x and y of sizes n with d differences from one centre c, 2 |x & y| = nx + ny - dx - dy + 2 s, s of the differences being shared. So
-    with q = (PART + WHOLE) d - (WHOLE - PART) n they link when 2 (PART + WHOLE) s >= qx + qy. Where c links with x and not with
-    y, that sum exceeds 2 PART dx: s is positive, and more than 0.45 of x's differences.
+    For sets x and y of sizes n with d differences from one hub c, 2 |x & y| = nx + ny - dx - dy + 2 s, s of the differences being shared. So
+    with q = (PART + WHOLE) d - (WHOLE - PART) n they link when 2 (PART + WHOLE) s >= qx + qy. Where c does not link with y,
+    that sum exceeds 2 PART dx: s is positive, and more than 0.45 of x's differences. Where it links with both, they are in one component.
     """
     size = star.groupBy("star").agg(F.count(F.lit(1)).alias("c"), F.max("extra").alias("e"), F.min("n").alias("n"))
     sides = open_.join(size.toDF("a", "ca", "ea", "na"), "a").join(size.toDF("b", "cb", "eb", "nb"), "b")
     way = [F.struct(F.col(h).alias("hub"), F.col(f"e{h}").alias("e"), F.col(f"n{h}").alias("least"), F.col(o).alias("star"),
                     F.col(f"e{o}").alias("far"), F.col(f"n{o}").alias("n")) for h, o in ("ab", "ba")]
     sides = written(sides.select("inter", F.when(F.col("ca") >= F.col("cb"), way[0]).otherwise(way[1]).alias("w")).select("inter", "w.*"), "sides")
-    # members of the smaller star, and those of the larger one (the hub), as far as the bounds leave them open
+    # members of the smaller star (y), and those of the larger one, the hub (x), as far as the bounds leave them open; nodes of a cloud are both
+    role = lambda hub, doc, x, y: (F.col(hub).alias("hub"), F.col(doc).alias("doc"), F.lit(x).alias("x"), F.lit(y).alias("y"))
     spokes = sides.select("hub", "star", "inter", "e", "least").join(star, "star").where(
-        f"{PART + WHOLE} * (inter + extra + e) >= {PART} * (n + least)").select("hub", F.col("sid").alias("doc"), F.lit(False).alias("own"))
-    hubs = sides.groupBy(F.col("hub").alias("star")).agg(F.max(F.col("inter") + F.col("far")).alias("best"), F.min("n").alias("least"))
-    own = hubs.join(star, "star").where(f"sid <> star AND {PART + WHOLE} * (best + extra) >= {PART} * (n + least)").select(
-        F.col("star").alias("hub"), F.col("sid").alias("doc"), F.lit(True).alias("own"))
-    told = written(spokes.union(own), "told")
+        f"{PART + WHOLE} * (inter + extra + e) >= {PART} * (n + least)").select(*role("hub", "sid", False, True))
+    best = sides.groupBy(F.col("hub").alias("star")).agg(F.max(F.col("inter") + F.col("far")).alias("best"), F.min("n").alias("least"))
+    own = best.join(star, "star").where(f"sid <> star AND {PART + WHOLE} * (best + extra) >= {PART} * (n + least)").select(*role("star", "sid", True, False))
+    inside = star.where("cloud <> 0 AND cloud <> sid").select(*role("cloud", "sid", True, True))
+    told = spokes.union(own).union(inside).groupBy("hub", "doc").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    told = written(told, "told")
     apart = _with_texts(told.select(F.col("hub").alias("a"), F.col("doc").alias("b")), docs, nodes).mapInArrow(
         forgetting(_differences, forget), "a long, b long, n long, apart array<long>")
     apart = apart.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("apart").alias("apart")).toDF("hub", "doc", "n", "apart")
     q = F.expr(f"{PART + WHOLE} * size(apart) - {WHOLE - PART} * n")
-    apart = apart.withColumn("q", q).join(told, ["hub", "doc"])
+    apart = apart.withColumn("q", q).join(told, ["hub", "doc"]).join(star.select(F.col("sid").alias("doc"), "label"), "doc")
     sizes = nodes.select(F.col("sid").alias("hub"), F.col("n").alias("hub_n"))
     apart = written(apart.join(sizes, "hub").withColumn("near", F.expr(f"q <= {WHOLE - PART} * hub_n")), "apart")
-    direct = apart.where("near AND NOT own").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-    apart = apart.where("own OR NOT near")
-    entry = apart.select("hub", "own", "doc", "q", F.size("apart").alias("d"), F.explode("apart").alias("shingle"))
-    common = entry.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("times"), F.max("own").alias("x"), F.min("own").alias("y")).where("x AND NOT y")
-    least = apart.groupBy("hub").agg(F.min(F.when(F.col("own"), F.col("q"))).alias("qx"), F.min(F.when(~F.col("own"), F.col("q"))).alias("qy"))
+    direct = apart.where("near AND y").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    apart = apart.where("x OR NOT near").withColumn("y", F.expr("y AND NOT near"))
+    entry = apart.select("hub", "x", "y", "label", "doc", "q", F.explode("apart").alias("shingle"))
+    common = entry.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("times"), F.max("x").alias("x"), F.max("y").alias("y"),
+                                                 F.min("label").alias("low"), F.max("label").alias("high")).where("x AND y AND low < high")
+    least = apart.groupBy("hub").agg(F.min(F.when(F.col("x"), F.col("q"))).alias("qx"), F.min(F.when(F.col("y"), F.col("q"))).alias("qy"))
     # shingles that only one side has can not be shared: they are left out
-    kept = entry.join(common.select("hub", "shingle", "times"), ["hub", "shingle"]).groupBy("hub", "own", "doc", "q", "d").agg(
+    kept = entry.join(common.select("hub", "shingle", "times"), ["hub", "shingle"]).groupBy("hub", "x", "y", "label", "doc", "q").agg(
         F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("order"))
-    kept = kept.join(least, "hub").withColumn("need", F.col("q") + F.when(F.col("own"), F.col("qy")).otherwise(F.col("qx")))
-    kept = kept.select("hub", "own", "doc", "q", "need", F.size("order").alias("d"), F.posexplode("order").alias("pos", "e")).where(
-        f"{2 * (PART + WHOLE)} * (d - pos) >= need")
-    x, y = (kept.where(F.col("own") == mine).select("hub", "e.shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "q", "d", "pos"))) for mine, s in ((True, "x"), (False, "y")))
-    met = x.join(y, ["hub", "shingle"]).where(f"{2 * (PART + WHOLE)} * least(d_x - pos_x, d_y - pos_y) >= q_x + q_y").select("hub", "doc_x", "doc_y").distinct()
-    of = apart.select("hub", "doc", "q", "apart")
-    both = met.join(of.toDF("hub", "doc_x", "q_x", "apart_x"), ["hub", "doc_x"]).join(of.toDF("hub", "doc_y", "q_y", "apart_y"), ["hub", "doc_y"])
+    kept = kept.join(least, "hub").select("hub", "x", "y", "label", "doc", "q", "qx", "qy", F.size("order").alias("d"), F.posexplode("order").alias("pos", "e"))
+    x, y = (kept.where(f"{mine} AND {2 * (PART + WHOLE)} * (d - pos) >= q + q{other}").select(
+        "hub", "e.shingle", F.expr("x AND y").alias(f"either_{mine}"), *(F.col(c).alias(f"{c}_{mine}") for c in ("doc", "label", "q", "d", "pos")))
+        for mine, other in ("xy", "yx"))
+    met = x.join(y, ["hub", "shingle"]).where(
+        "label_x <> label_y AND (doc_x < doc_y OR NOT (either_x AND either_y)) "
+        f"AND {2 * (PART + WHOLE)} * least(d_x - pos_x, d_y - pos_y) >= q_x + q_y").select("hub", "doc_x", "doc_y").distinct()
+    x, y = (apart.select("hub", F.col("doc").alias(f"doc_{s}"), F.col("near").alias(f"near_{s}"), F.col("q").alias(f"q_{s}"), F.col("apart").alias(f"apart_{s}")) for s in "xy")
+    both = met.join(x, ["hub", "doc_x"]).join(y, ["hub", "doc_y"])
     linked = both.where(f"{2 * (PART + WHOLE)} * size(array_intersect(apart_x, apart_y)) >= q_x + q_y")
-    return written(direct.union(linked.select("hub", "doc_y")).distinct(), "member-links")
+    linked = linked.select(F.expr("CASE WHEN near_x THEN hub ELSE doc_x END"), "doc_y")  # the hub links with its near ones
+    return written(direct.union(linked).distinct(), "member-links")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -364,8 +391,12 @@ def link(docs: DataFrame) -> DataFrame:
     star, links = stars(nodes, docs)
     early = written(components(links), "early-labels")  # stars that are linked already need no comparison
     labelled = star.join(early.toDF("star", "label"), "star", "left").withColumn("label", F.coalesce("label", "star"))
-    members = nodes.drop("n").join(labelled, "sid")
-    pairs = candidates(members.select("star", "label", "n", "prefix", "level"))
+    centres = labelled.where("sid = star AND hub IS NOT NULL").select("star", "hub", "label")
+    large = centres.groupBy("hub").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where(f"c >= {CLOUD} AND low < high")
+    clouds = centres.join(large.select("hub"), "hub").select("star", F.col("hub").alias("cloud"))
+    star = written(labelled.join(clouds, "star", "left").select("sid", "star", "extra", "n", "label", F.coalesce("cloud", F.lit(0)).alias("cloud")), "clouds")
+    members = nodes.drop("n").join(star, "sid")
+    pairs = candidates(members.select("star", "label", "cloud", "n", "prefix", "level"))
     seen = written(compare(pairs, docs, nodes).withColumn("linked", F.expr(LINKED)), "centre-pairs")
     reach = star.groupBy("star").agg(F.max("extra").alias("e"), F.min("n").alias("n"))
     apart, wide = seen.where("NOT linked"), reach.where("e > 0")  # only stars with extra shingles leave a pair open

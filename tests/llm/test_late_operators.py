@@ -340,3 +340,35 @@ def test_words_of_a_batch_travel_as_plain_lists(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(i#" in plan and "struct(i" not in plan
     assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: 4 * i + 1 for i in range(1, 30)}
+
+
+def test_near_stars_without_links_are_not_listed(spark, monkeypatch):
+    """Copies of one text with edits of their own: almost no two link, yet all share most shingles. Some are copies of a copy."""
+    rng = np.random.default_rng(8)
+    made = []
+    for i in range(240):
+        t = list(made[int(rng.integers(0, i))]) if i % 6 == 5 else [f"w{k}" for k in range(200)]
+        for at in rng.choice(200, 1 if i % 6 == 5 else 3, replace=False):
+            t[at] = f"n{i}x{at}"
+        made.append(t)
+    texts = [" ".join(t) for t in made]
+    sets = [set(s.tolist()) for s in jaccard.shingle_sets(texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    listed, find = [], jaccard.candidates
+
+    def counted(members):
+        out = find(members)
+        listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "candidates", counted)
+    got = jaccard.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    assert 100 < len(set(root)) < len(texts)
+    assert listed[0] <= 12 * len(texts)  # of 28,680 pairs
