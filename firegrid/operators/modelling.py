@@ -37,6 +37,7 @@ _NAMES = {
 }
 _HANDLED_ELSEWHERE = {"scale_pos_weight"}
 EARLY_STOPPING_ROUNDS, FIRST_TREES, PARALLEL_FOLDS = 20, 40, 5
+PARALLEL_ROWS = 20_000_000  # rows of the fits at one time: each fit caches its own rows, and all of them share the executors' memory
 
 
 def learner(params: dict | None = None, label: str = "label", weight: str | None = None) -> GBTClassifier:
@@ -155,6 +156,7 @@ def cv_auc(
     """(fold, rows, positives, roc_auc, n_trees): one early-stopped model per stratified fold, exact areas for all folds in one query.
 
     Vectors, weights and folds are stored once; every fit reads that table. As published, a fold also stops its own model.
+    Small tables are fitted with all folds at one time, large ones fold by fold; the models are the same.
     """
     parts = stratified_folds(df, key, label, folds, seed)
     rows, _ = vectors(parts, features, label, params)
@@ -164,7 +166,8 @@ def cv_auc(
     def one(k: int) -> GBTClassificationModel:
         return fit_early(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), params, label, rounds)
 
-    with ThreadPoolExecutor(min(folds, PARALLEL_FOLDS)) as pool:
+    at_once = min(folds, PARALLEL_FOLDS, max(PARALLEL_ROWS // max(rows.count(), 1), 1))
+    with ThreadPoolExecutor(at_once) as pool:
         models = list(pool.map(inheritable_thread_target(df.sparkSession)(one), range(folds)))
     scored = None
     for k, model in enumerate(models):

@@ -52,6 +52,27 @@ def test_cross_validation(rows):
     assert mean["mean"] == pytest.approx(np.mean(areas)) and mean["std"] == pytest.approx(np.std(areas)) and mean.folds == 3
 
 
+def test_folds_of_large_tables_are_fitted_one_by_one(rows, monkeypatch):
+    """Fits at one time share the executors' memory; the models do not depend on how many there are."""
+    running, most, fit = [], [], m.fit_early
+
+    def counted(*args):
+        running.append(1)
+        most.append(len(running))
+        try:
+            return fit(*args)
+        finally:
+            running.pop()
+
+    monkeypatch.setattr(m, "fit_early", counted)
+    areas = []
+    for at_once in (10_000, 600):
+        monkeypatch.setattr(m, "PARALLEL_ROWS", at_once, raising=False)
+        most.clear()
+        areas.append({(r.fold, r.roc_auc, r.n_trees) for r in m.cv_auc(rows, ["a", "b"], "id", folds=3, params=SMALL).collect()})
+    assert max(most) == 1 and areas[0] == areas[1]
+
+
 def test_best_prefix():
     assert m.best_prefix([3.0, 2.0, 2.5, 2.0, 2.0], 3) == (2, True)
     assert m.best_prefix([3.0, 2.0, 2.5, 1.0, 2.0], 3) == (4, False)
